@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, media, mixing
+from . import licenses, linededup, media, mixing, ngramjoin
 from .tables import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
+NGRAM_JOIN_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)"""
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(table(spark, sf_dir, "documents"))
 
@@ -88,5 +101,5 @@ SELECT l.page_id, l.host, count(*) FILTER (WHERE l.key <> '')::BIGINT AS n_lines
 FROM line l LEFT JOIN often o ON l.host = o.host AND l.key = o.key GROUP BY l.page_id, l.host"""
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op5_mixing, op7_media, op10_line_dedup)}
-ORACLES = {"op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op10_line_dedup": _line_dedup_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op5_mixing, op7_media, op10_line_dedup)}
+ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op10_line_dedup": _line_dedup_sql()}
