@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, media, mixing, ngramjoin
+from . import licenses, linededup, media, mixing, ngramjoin, substrings
 from .tables import table
 
 
@@ -81,6 +81,20 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+SUBSTRING_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w)),
+f AS (SELECT g, min(doc_id) AS first_doc FROM x GROUP BY g),
+r AS (SELECT DISTINCT doc_id, p + o AS i FROM x JOIN f USING (g) CROSS JOIN (SELECT unnest(range(13)) AS o) WHERE first_doc < doc_id),
+k AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+j AS (SELECT k.doc_id, count(*)::BIGINT AS n_words, count(r.i)::BIGINT AS n_removed, coalesce(string_agg(k.word, ' ' ORDER BY k.i) FILTER (WHERE r.i IS NULL), '') AS kept FROM k LEFT JOIN r ON k.doc_id = r.doc_id AND k.i = r.i GROUP BY k.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN j USING (doc_id)"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     lines = pages.select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.visible_lines(F.col("html")).alias("text"))
@@ -101,5 +115,5 @@ SELECT l.page_id, l.host, count(*) FILTER (WHERE l.key <> '')::BIGINT AS n_lines
 FROM line l LEFT JOIN often o ON l.host = o.host AND l.key = o.key GROUP BY l.page_id, l.host"""
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op5_mixing, op7_media, op10_line_dedup)}
-ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op10_line_dedup": _line_dedup_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op5_mixing, op7_media, op9_substring_dedup, op10_line_dedup)}
+ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": _line_dedup_sql()}
