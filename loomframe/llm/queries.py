@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, media, mixing, ngramjoin, substrings, toxicity
+from . import langid, licenses, linededup, media, mixing, ngramjoin, substrings, toxicity
 from .tables import fold_of, table
 
 
@@ -54,6 +54,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold_of("doc_id", 4) != 2)
+    return langid.predict(docs, model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
@@ -122,5 +128,5 @@ SELECT l.page_id, l.host, count(*) FILTER (WHERE l.key <> '')::BIGINT AS n_lines
 FROM line l LEFT JOIN often o ON l.host = o.host AND l.key = o.key GROUP BY l.page_id, l.host"""
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_toxicity, op5_mixing, op7_media, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_toxicity, op4_language_id, op5_mixing, op7_media, op9_substring_dedup, op10_line_dedup)}
 ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": _line_dedup_sql()}
