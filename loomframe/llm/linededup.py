@@ -46,19 +46,20 @@ def _key(line: Column) -> Column:
 
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.2, least: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """The ``keep`` columns, host, n_lines, n_dropped and the text without its boilerplate lines."""
-    base = pages.select(*keep, F.col(host).alias("_host"), F.col(text).alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != "")
-    seen = base.select("_host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("key")).groupBy("_host", "key").agg(F.count("*").alias("n"))
-    total = base.groupBy("_host").agg(F.count("*").alias("pages")).withColumnRenamed("_host", "h")
-    often = seen.filter(F.col("n") >= least).join(total, F.col("_host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("pages"))
-    often = often.groupBy("h").agg(F.collect_list("key").alias("drop"))
-    split = F.split("_text", "\n")
-    kept = F.when(F.col("drop").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("drop", _key(x))))
-    out = base.join(often, F.col("_host").eqNullSafe(F.col("h")), "left").withColumn("_kept", kept).withColumn("_n", F.size(lines))
+    base = pages.select(*keep, F.col(host).alias("__host"), F.col(text).alias("__text"))
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != "")
+    seen = base.select("__host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("key")).groupBy("__host", "key").agg(F.count("*").alias("n"))
+    total = base.groupBy("__host").agg(F.count("*").alias("pages")).withColumnRenamed("__host", "h")
+    often = seen.filter(F.col("n") >= least).join(total, F.col("__host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("pages"))
+    often = often.groupBy(F.col("h").alias("__h")).agg(F.collect_list("key").alias("__drop"))
+    split = F.split("__text", "\n")
+    kept = F.when(F.col("__drop").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x))))
+    out = base.join(often, F.col("__host").eqNullSafe(F.col("__h")), "left").withColumn("__kept", kept).withColumn("__n", F.size(lines))
+    none = F.col("__text").isNull()
     return out.select(
         *keep,
-        F.col("_host").alias(host),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.array_join("_kept", "\n").alias(text),
+        F.col("__host").alias(host),
+        F.when(none, 0).otherwise(F.col("__n")).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size(split) - F.size("__kept")).cast("long").alias("n_dropped"),
+        F.array_join("__kept", "\n").alias(text),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, media, mixing, ngramjoin, substrings, toxicity
+from . import langid, licenses, linededup, media, mixing, ngramjoin, pieces, substrings, toxicity, vectors
 from .tables import fold_of, table
 
 
@@ -87,6 +87,19 @@ times AS (SELECT id, size, source_size, target, whole + CASE WHEN everything THE
 SELECT id AS doc_id, size, source_size, target, (times * size)::BIGINT AS taken FROM times"""
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(table(spark, sf_dir, "embeddings"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_avi(media.write_avi(table(spark, sf_dir, "documents")))
     starts = F.array_join(F.transform("clips", lambda c: c["first_frame"].cast("string")), ",")
@@ -94,6 +107,15 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+#: Where the public tokenizers lie; the model is read by the driver and broadcast.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), pieces.load(model))
+    return encoded.select("doc_id", *pieces.summary(encoded))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -128,5 +150,5 @@ SELECT l.page_id, l.host, count(*) FILTER (WHERE l.key <> '')::BIGINT AS n_lines
 FROM line l LEFT JOIN often o ON l.host = o.host AND l.key = o.key GROUP BY l.page_id, l.host"""
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_toxicity, op4_language_id, op5_mixing, op7_media, op9_substring_dedup, op10_line_dedup)}
-ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": _line_dedup_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_toxicity, op4_language_id, op5_mixing, op6_vector_dedup, op7_media, op8_sentencepiece, op9_substring_dedup, op10_line_dedup)}
+ORACLES = {"op1_ngram_join": NGRAM_JOIN_SQL, "op2_license_scan": _license_sql(), "op5_mixing": MIXING_SQL, "op6_vector_dedup": VECTOR_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op10_line_dedup": _line_dedup_sql()}
