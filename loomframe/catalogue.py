@@ -1,4 +1,7 @@
 """All queries of the library by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import parsing
+
+MODULES = (parsing,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
