@@ -48,9 +48,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def numeral(c: Column) -> Column:
     """Value of digits or numerals up to the ten thousands, with or without the reference's frame; null if it is neither."""
-    s = trim_ws(F.regexp_replace(F.regexp_replace(c, "^第", ""), "条$", ""))
+    return let(trim_ws(F.regexp_replace(F.regexp_replace(c, "^第", ""), "条$", "")), _numeral)
+
+
+def _numeral(s: Column) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("unit"), F.lit(True).alias("ok"))
 
     def step(acc, ch):
@@ -74,7 +82,7 @@ def references(c: Column) -> Column:
     spelled = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), lambda m: F.regexp_replace(m, r"\s+", ""))
     both = F.transform(spelled, lambda m: F.struct(numeral(m).alias("number"), m.alias("spelling")))
     kept = F.filter(both, lambda x: x["number"] > 0)
-    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["number"]), x["number"]) == i + 1)
+    return let(kept, lambda k: let(F.transform(k, lambda y: y["number"]), lambda n: F.filter(k, lambda x, i: F.array_position(n, x["number"]) == i + 1)))
 
 
 def fingerprint(c: Column, n: int = 16) -> Column:

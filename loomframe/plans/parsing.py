@@ -29,19 +29,19 @@ def cn_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NUMBERS.df(spark).select("id", text.numeral(F.col("raw")).alias("value"))
 
 
-def _fold_sql(src: str, key: str, raw: str) -> str:
-    """Recursive CTE ``folded`` with the value of each row's numerals."""
+def _fold_sql(src: str, key: str, raw: str, tag: str = "") -> str:
+    """Recursive CTE ``folded`` (with a tag after it) with the value of each row's numerals."""
     ws = text.WS
     return f"""
-bare AS (SELECT {key}, regexp_replace(regexp_replace(regexp_replace({raw}, '^第', ''), '条$', ''), '^{ws}+|{ws}+$', '', 'g') AS s FROM {src}),
-fold AS (SELECT {key}, s, 1 AS i, 0::BIGINT AS total, 0::BIGINT AS section, 0::BIGINT AS unit, true AS ok FROM bare
+bare{tag} AS (SELECT {key}, regexp_replace(regexp_replace(regexp_replace({raw}, '^第', ''), '条$', ''), '^{ws}+|{ws}+$', '', 'g') AS s FROM {src}),
+fold{tag} AS (SELECT {key}, s, 1 AS i, 0::BIGINT AS total, 0::BIGINT AS section, 0::BIGINT AS unit, true AS ok FROM bare{tag}
   UNION ALL SELECT {key}, s, i + 1,
     CASE WHEN c = '万' THEN total + (section + unit) * 10000 ELSE total END,
     CASE WHEN c = '万' THEN 0 WHEN p IS NOT NULL THEN section + (CASE WHEN unit = 0 THEN 1 ELSE unit END) * p ELSE section END,
     CASE WHEN c = '万' OR p IS NOT NULL THEN 0 WHEN d >= 0 THEN d ELSE unit END,
     ok AND (c = '万' OR p IS NOT NULL OR d >= 0)
-  FROM (SELECT *, CASE c WHEN '十' THEN 10 WHEN '百' THEN 100 WHEN '千' THEN 1000 END AS p, CASE WHEN c = '两' THEN 2 ELSE strpos('{text.NUMERALS}', c) - 1 END AS d FROM (SELECT *, substr(s, i, 1) AS c FROM fold WHERE i <= length(s)))),
-folded AS (SELECT b.{key}, CASE WHEN regexp_matches(b.s, '^[0-9]+$') THEN TRY_CAST(b.s AS BIGINT) WHEN f.ok THEN f.total + f.section + f.unit END AS value FROM bare b LEFT JOIN fold f ON f.{key} = b.{key} AND f.i = length(b.s) + 1)"""
+  FROM (SELECT *, CASE c WHEN '十' THEN 10 WHEN '百' THEN 100 WHEN '千' THEN 1000 END AS p, CASE WHEN c = '两' THEN 2 ELSE strpos('{text.NUMERALS}', c) - 1 END AS d FROM (SELECT *, substr(s, i, 1) AS c FROM fold{tag} WHERE i <= length(s)))),
+folded{tag} AS (SELECT b.{key}, CASE WHEN regexp_matches(b.s, '^[0-9]+$') THEN TRY_CAST(b.s AS BIGINT) WHEN f.ok THEN f.total + f.section + f.unit END AS value FROM bare{tag} b LEFT JOIN fold{tag} f ON f.{key} = b.{key} AND f.i = length(b.s) + 1)"""
 
 
 CN_NUMERAL = f"WITH RECURSIVE src AS {NUMBERS.sql()}, {_fold_sql('src', 'id', 'raw')} SELECT id, value FROM folded"
