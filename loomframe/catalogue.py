@@ -1,7 +1,7 @@
 """All queries of the library by name, and their DuckDB SQL."""
 
-from .plans import audit, corpus, parsing, retrieval
+from .plans import audit, corpus, evaluation, parsing, retrieval
 
-MODULES = (parsing, retrieval, corpus, audit)
+MODULES = (parsing, retrieval, corpus, audit, evaluation)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
