@@ -113,24 +113,44 @@ def _told(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return place, k["id"][new].view(np.uint64), k["fp"][new].view(np.uint64)
 
 
-def _mark_rows(ids, fps, pos) -> pa.RecordBatch:
-    """One row per document with its marked places."""
-    order = np.lexsort((pos, fps, ids))
-    ids, fps, pos = ids[order], fps[order], pos[order]
-    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])))) if len(ids) else np.empty(0, np.int64)
-    edge = np.append(at, len(ids)).astype(np.int64) * 4
-    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(pos, np.uint32))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(fps[at]), data], ["id", "fp", "pos"])
-
-
-def _settle(shared: bool):
+def _mark_blobs(ids, fps, pos, buckets: int) -> pa.RecordBatch:
+    """Marks packed by the bucket of their document."""
+    order, edge = blobs.by_bucket(mix64(ids.view(np.uint64)), buckets)
+    some = np.flatnonzero(np.diff(edge)).tolist()
+    out = []
+    for k in some:
+        part = order[edge[k] : edge[k + 1]]
+        out.append(blobs.pack([*_told(ids[part], fps[part]), pos[part]]))
+    return blobs.batch(some, out)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its marked places."""
+    for _, frames in blobs.gathered(batches):
+        ids = np.concatenate([f[1].view(np.int64)[f[0]] for f in frames])
+        fps = np.concatenate([f[2].view(np.int64)[f[0]] for f in frames])
+        pos = np.concatenate([f[3] for f in frames])
+        order = np.lexsort((pos, fps, ids))
+        ids, fps, pos = ids[order], fps[order], pos[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])
+        at = np.flatnonzero(new)
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            end = int(at[i + 4096]) if i + 4096 < len(at) else len(ids)
+            edge = np.append(part, end) - part[0]
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pos[part[0] : end], np.uint32))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(fps[part]), data], ["id", "fp", "pos"])
+
+
+def _settle(shared: bool, buckets: int):
     """Marks of each bucket: anchors that two documents hold, or windows that an earlier document holds."""
 
     def run(batches):
         for _, frames in blobs.gathered(batches):
             for f in frames:
                 if not len(f[0]):
-                    yield _mark_rows(f[2].view(np.int64)[f[1]], f[3].view(np.int64)[f[1]], f[4])
+                    yield _mark_blobs(f[2].view(np.int64)[f[1]], f[3].view(np.int64)[f[1]], f[4], buckets)
             frames = [f for f in frames if len(f[0])]
             if not frames:
                 continue
@@ -151,7 +171,7 @@ def _settle(shared: bool):
                 hit = many[group] & ~flag
             else:
                 hit = later
-            yield _mark_rows(ids[hit], fps[hit], pos[hit])
+            yield _mark_blobs(ids[hit], fps[hit], pos[hit], buckets)
 
     return run
 
@@ -186,14 +206,13 @@ def _candidates(buckets: int):
         for rb in batches:
             buf, off = text_buffer(rb.column("text"))
             ids, fps = rb.column("id").to_numpy(zero_copy_only=False), rb.column("fp").to_numpy(zero_copy_only=False)
-            marks = rb.column("marks")
+            marks = rb.column("pos")
             for a, b in chunks(off):
                 doc, pos, place, _, whole = windows(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 base = np.concatenate(([0], np.cumsum(np.diff(off[a : b + 1]) + 1)))
                 marked = np.zeros(int(base[-1]) + 1, bool)
                 for i in range(a, b):
-                    for m in marks[i]:
-                        marked[base[i - a] + np.frombuffer(m.as_buffer(), np.uint32)] = True
+                    marked[base[i - a] + np.frombuffer(marks[i].as_buffer(), np.uint32)] = True
                 hit = np.flatnonzero(marked[base[doc] + place])
                 if len(hit):
                     d = doc[hit] + a
@@ -225,33 +244,33 @@ def repeat_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     buckets = bucket_count(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"), bloom.places(F.col(id_col).cast("long")).alias("at"))
     told = rows.filter("id is not null").select("id", "fp", "text")
-    shared = write_shared(blobs.deal(told.mapInArrow(_anchors(buckets), blobs.SCHEMA), buckets).mapInArrow(_settle(True), MARKS), "anchors")
+
+    def marks_of(items: DataFrame, shared: bool) -> DataFrame:
+        settled = blobs.deal(items, buckets).mapInArrow(_settle(shared, buckets), blobs.SCHEMA)
+        return write_shared(blobs.deal(settled, buckets).mapInArrow(_merge, MARKS), "marks")
+
+    shared = marks_of(told.mapInArrow(_anchors(buckets), blobs.SCHEMA), True)
     held = spark.sparkContext.broadcast(bloom.build(shared.select("id"), "id"))
     some = rows.mapInArrow(_passed(held, True), "id long, fp long, text string")
-    per = shared.groupBy("id", "fp").agg(F.collect_list("pos").alias("marks"))
-    found = some.join(per, ["id", "fp"]).mapInArrow(_candidates(buckets), blobs.SCHEMA)
-    return rows, write_shared(blobs.deal(found, buckets).mapInArrow(_settle(False), MARKS), "repeats")
+    found = some.join(shared, ["id", "fp"]).mapInArrow(_candidates(buckets), blobs.SCHEMA)
+    return rows, marks_of(found, False)
 
 
-def _covered(n_words: int, marks) -> np.ndarray:
+def _covered(n_words: int, at: np.ndarray) -> np.ndarray:
     """True for each word that a marked window covers."""
-    step = np.zeros(n_words + 1, np.int64)
-    for m in marks:
-        at = np.frombuffer(m, np.uint32)
-        np.add.at(step, at, 1)
-        np.add.at(step, np.minimum(at.astype(np.int64) + WINDOW, n_words), -1)
+    step = np.bincount(at, minlength=n_words + 1) - np.bincount(np.minimum(at.astype(np.int64) + WINDOW, n_words), minlength=n_words + 1)
     return np.cumsum(step[:-1]) > 0
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         n_words, n_removed, text, runs = [], [], [], []
-        marks = rb.column("marks") if "marks" in rb.schema.names else None
+        marks = rb.column("pos") if "pos" in rb.schema.names else None
         for i, t in enumerate(rb.column("text")):
             w = bytes(t.as_buffer()).split() if t.is_valid else []  # splits at 0x20 and 0x09-0x0D
             removed, own = 0, []
             if marks is not None and marks[i].is_valid:
-                gone = _covered(len(w), [m.as_buffer() for m in marks[i]])
+                gone = _covered(len(w), np.frombuffer(marks[i].as_buffer(), np.uint32))
                 removed = int(gone.sum())
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 own = [{"start": s, "n": e - s} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
@@ -277,7 +296,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows, marks = repeat_marks(docs, id_col, text_col)
     held = spark.sparkContext.broadcast(bloom.build(marks.select("id"), "id"))
     whole = rows.mapInArrow(_passed(held, False), "id long, fp long, text string").mapInArrow(_keep, KEPT)
-    per = marks.groupBy("id", "fp").agg(F.collect_list("pos").alias("marks"))
-    some = rows.mapInArrow(_passed(held, True), "id long, fp long, text string").join(per, ["id", "fp"], "left")
-    out = whole.unionByName(some.select("id", "fp", "text", "marks").mapInArrow(_keep, KEPT))
+    some = rows.mapInArrow(_passed(held, True), "id long, fp long, text string").join(marks, ["id", "fp"], "left")
+    out = whole.unionByName(some.select("id", "fp", "text", "pos").mapInArrow(_keep, KEPT))
     return out.withColumnRenamed("id", id_col)
