@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import table
 from ..functions.text import norm_source
 from ..operators import decisions, evalkit, topk
+from ..operators.errors import TRANSIENT_CODES, TRANSIENT_NAMES
 from ..sources import read
 from .retrieval import K, items, questions
 
@@ -25,8 +26,6 @@ FLOORS = table("name string, metric string, floor double", ("overall", "hit_5",
 NAMED = table("id int, source string, number int", (1, "《民法典》", 577), (1, "公司法", 23), (2, "民法典.md", 1))
 EXPECTED = table("id int, source string, number int", (1, "民法典", 577), (2, "民法典", 2), (2, "民法典", 1), (3, "公司法", 3))
 ERRORS = table("id int, name string, code string", (1, "TimeoutError", None), (2, "AbortError", "X"), (3, "Error", "ECONNRESET"), (4, "Error", "E404"), (5, "TypeError", "ENOTFOUND"), (6, None, None))
-#: Failures worth a retry.
-TRANSIENT_NAMES, TRANSIENT_CODES = ("TimeoutError", "AbortError"), ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "ENOTFOUND", "EAI_AGAIN", "EPIPE")
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
