@@ -15,11 +15,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NGRAM_JOIN_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
-x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+g AS (SELECT doc_id, n, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER p" for k in range(1, 5))}) AS g FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+x AS MATERIALIZED (SELECT doc_id, hash(g) AS g, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, g FROM g WHERE i <= n - 4 OR (n < 5 AND i = 1))),
+s AS (SELECT doc_id, coalesce(max(n), 0) AS n FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id),
 link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)"""
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n"""
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +122,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-SUBSTRING_SQL = """
+SUBSTRING_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-x AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w)),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM w),
+x AS MATERIALIZED (SELECT doc_id, p, g FROM (SELECT doc_id, p, n, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 13))}) AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= n - 12),
 f AS (SELECT g, min(doc_id) AS first_doc FROM x GROUP BY g),
 r AS (SELECT DISTINCT doc_id, p + o AS i FROM x JOIN f USING (g) CROSS JOIN (SELECT unnest(range(13)) AS o) WHERE first_doc < doc_id),
-k AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+k AS (SELECT doc_id, word, p AS i FROM t),
 j AS (SELECT k.doc_id, count(*)::BIGINT AS n_words, count(r.i)::BIGINT AS n_removed, coalesce(string_agg(k.word, ' ' ORDER BY k.i) FILTER (WHERE r.i IS NULL), '') AS kept FROM k LEFT JOIN r ON k.doc_id = r.doc_id AND k.i = r.i GROUP BY k.doc_id)
 SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN j USING (doc_id)"""
 
