@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, bloom
-from .tables import bucket_count, write_shared
+from .tables import bucket_count, small_batches, write_shared
 from .textkernel import chunks, gram_hashes, mix64, spans as counting, text_buffer, word_hashes, words
 
 WINDOW, SEED = 13, 7
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 MARKS = "id long, fp long, pos binary"
 
 
@@ -241,6 +241,7 @@ def _passed(held, keep: bool):
 def repeat_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, marks): rows are id, fp, text, at; marks are id, fp, places where a repeated window starts."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = bucket_count(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"), bloom.places(F.col(id_col).cast("long")).alias("at"))
     told = rows.filter("id is not null").select("id", "fp", "text")

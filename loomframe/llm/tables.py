@@ -37,6 +37,14 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the bytes that Spark hands to a Python worker at once, unless the session bounds them lower."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(key)
+    if now.lower().strip("b").isdigit() and int(now.lower().strip("b")) > 16 << 20:
+        spark.conf.set(key, size)
+
+
 def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
