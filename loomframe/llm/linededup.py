@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import write_shared
+
 #: Fixed patterns of HTML: what is not shown, what ends a line, what is only dropped.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BLOCK = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|hr|tr|td|th|table|article|section|nav|header|footer|main|aside|blockquote|pre|form|title|body|html)\b[^>]*>|[\r\n]+"
@@ -51,7 +53,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", r
     seen = base.select("__host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("key")).groupBy("__host", "key").agg(F.count("*").alias("n"))
     total = base.groupBy("__host").agg(F.count("*").alias("pages")).withColumnRenamed("__host", "h")
     often = seen.filter(F.col("n") >= least).join(total, F.col("__host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("pages"))
-    often = often.groupBy(F.col("h").alias("__h")).agg(F.collect_list("key").alias("__drop"))
+    # written out, so that Spark knows its size: it is broadcast if small, else a hot host's pages are split over tasks
+    often = write_shared(often.groupBy(F.col("h").alias("__h")).agg(F.collect_list("key").alias("__drop")), "boilerplate")
     split = F.split("__text", "\n")
     kept = F.when(F.col("__drop").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x))))
     out = base.join(often, F.col("__host").eqNullSafe(F.col("__h")), "left").withColumn("__kept", kept).withColumn("__n", F.size(lines))
