@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, most: float =
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, ratio: float = 0.01, least: int = 5) -> DataFrame:
-    """Documents without the lines that stand in more than ``ratio`` of their source's documents."""
-    out = linededup.drop_boilerplate(docs, host="source", text="text", ratio=ratio, least=least, keep=("doc_id", "lang"))
+    """Documents without the lines that stand in more than ``ratio`` of their source's different texts.
+
+    The next stage needs copies and near copies whole, so a group's lines stay in one document at least.
+    """
+    out = linededup.drop_boilerplate(docs, host="source", text="text", ratio=ratio, least=least, keep=("doc_id", "lang"), copies="doc_id")
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -54,3 +54,20 @@ def test_stages(spark, tmp_path):
         import numpy as np
 
         assert back.decode(np.array(r.ids or [], int), np.array([0, len(r.ids or [])]))[0].decode() == (text or "")
+
+
+def test_copies_keep_their_lines(spark, tmp_path):
+    rng = random.Random(12)
+    para = lambda n: "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(n))
+    copy, near = para(8), para(8).split("\n")
+    rows = [(i, para(3) + "\nSite footer", "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, copy, "en", "s", 0) for i in range(20)]
+    rows += [(200 + i, "\n".join(f"{x} changed{i}" if k == i % 8 else x for k, x in enumerate(near)), "en", "s", 0) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = P.drop_lines(spark, docs, str(tmp_path))
+    assert lines.count() == len(rows)
+    left = {r.doc_id: r.text for r in P.drop_near_copies(spark, spark.createDataFrame(lines.collect(), docs.schema), str(tmp_path)).collect()}
+    assert [(i, t) for i, t in left.items() if 100 <= i < 200] == [(100, copy)]
+    assert not any("Site footer" in t for t in left.values())
+    assert {x for i, t in left.items() if i >= 200 for x in t.split("\n")} >= set(near)
+    assert left[200] == rows[80][1]
