@@ -84,6 +84,15 @@ def test_ngram_join_of_nothing(spark):
     assert [tuple(r) for r in ngramjoin.join(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_ngram_join_of_null_ids(spark):
+    base = [[f"g{k}w{i}" for i in range(40)] for k in range(8)]
+    near = [" ".join([*w[:-1], "other"]) for w in base]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)] + [(None, t) for t in near] + [(None, " ".join(base[0])), (50, near[1])]
+    got = sorted((tuple(r) for r in ngramjoin.join(frame(spark, rows)).collect()), key=str)
+    want = [(k, 36, k) for k in range(8)] + [(50, 36, 1), (None, 36, 0), (None, 36, 1)] + [(None, 36, None)] * 7
+    assert got == sorted(want, key=str)
+
+
 def test_prefixes_demand_what_they_promise():
     rng = np.random.default_rng(0)
     for _ in range(20):
