@@ -1,12 +1,12 @@
-"""Substring dedup by seed and extend on winnowed anchors.
+"""Substring dedup by exact windows behind a filter of winnowed anchors.
 
 Seeds.  Of any ``WINDOW`` = 13 consecutive words the smallest hash among its seven
 7-word grams is an anchor (winnowing), so equal windows share their anchor.  A
 first shuffle finds the anchors that stand in two documents or more.
 
-Extension.  A match can only lie in windows that own such an anchor: from each
-one it is extended both ways, window by window, against all earlier documents
-at once.  Every such window goes, by its 64-bit hash, to a second shuffle that
+Windows.  A match can only lie in windows that own such an anchor.  No match is
+extended from it: equal windows share their anchor, so matching these windows
+exactly finds the same places.  Every such window goes, by its 64-bit hash, to a second shuffle that
 keeps the smallest document of each; windows of later documents are repeats, and
 runs of them are the maximal repeats (``spans``).  Pairs of documents are never
 formed, so a passage that a third of all documents share costs what any other does.
