@@ -29,24 +29,29 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    rows = []
-    for i, (phrase, label) in enumerate([*licenses.BASE.items(), *licenses.NOTICES.items()]):
-        w = phrase.split(" ")
-        rows += [f"({i}, '{label}', {str(i < len(licenses.BASE)).lower()}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for p in range(len(w) - 1)]
+    """Base places word by word, as the contract has them; the other labels by different places within merged diagonals."""
+    phrases, rows = [], []
+    for i, label, base, w in licenses.notice_table():
+        if base:
+            same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(w))
+            phrases.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(1, len(w) - {len(w) - 2}), lambda i: {same})) - 1 AS p FROM w")
+        else:
+            rows += [f"({i}, '{label}', {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for p in range(len(w) - 1)]
     return f"""
-WITH notice(t, label, base, pairs, place, a, b) AS (VALUES {", ".join(rows)}),
-w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-pair AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS p FROM w WHERE len(w) > 1)),
-votes AS (SELECT doc_id, t, label, base, pairs, p - place AS diagonal, count(*) AS n, min(p) AS lo FROM pair JOIN notice USING (a, b) GROUP BY ALL),
-opened AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS o FROM votes),
-grouped AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS g FROM opened),
-merged AS (SELECT doc_id, t, label, base, pairs, g, sum(n) AS n, min(lo) AS lo FROM grouped GROUP BY ALL),
-kept AS (SELECT doc_id, label, base, lo, least(1.0::DOUBLE, n::DOUBLE / pairs) AS share FROM merged WHERE CASE WHEN base THEN n >= pairs ELSE n::DOUBLE / pairs >= 0.75 END),
-found AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word, max(lo) FILTER (WHERE base) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM kept GROUP BY doc_id)
-SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+WITH notice(t, label, pairs, place, a, b) AS (VALUES {", ".join(rows)}),
+w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+place AS ({" UNION ALL ".join(phrases)}),
+pair AS (SELECT r, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM w WHERE len(w) > 1)),
+hit AS MATERIALIZED (SELECT r, t, label, pairs, place, p - place AS diagonal FROM pair JOIN notice USING (a, b)),
+opened AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS o FROM hit),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY r, t ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS g FROM opened),
+span AS (SELECT r, label, count(DISTINCT place)::DOUBLE / pairs AS share FROM grouped GROUP BY r, t, label, pairs, g HAVING count(DISTINCT place)::DOUBLE / pairs >= 0.75),
+found AS (SELECT r, label, share FROM span UNION ALL SELECT r, label, 1.0 FROM place),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY r),
+base AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM w LEFT JOIN found USING (doc_id)"""
+FROM w LEFT JOIN base USING (r) LEFT JOIN labels USING (r)"""
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
