@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -110,13 +110,16 @@ SECOND_PASS_PLAN = "SELECT * FROM (VALUES (1, ''), (2, '公司法'), (3, '公司
 
 
 def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one source plus those of another whose text is not there yet."""
+    """The documents of each source plus those of the next by name whose text is not there yet."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.sha1(F.col("text").cast("binary")).alias("h"))
-    base, extra = d.filter("source = 'src1'"), d.filter("source in ('src2', 'src1')")
-    return base.unionByName(extra.join(base.select("h").distinct(), "h", "left_anti").select("doc_id", "source", "h"))
+    follows = d.select("source").distinct().withColumn("base", F.lag("source").over(Window.orderBy("source"))).filter("base is not null")  # one row per source
+    base = d.select(F.col("source").alias("base"), "doc_id", "h")
+    extra = d.join(follows, "source").select("base", "doc_id", "h").join(base.select("base", "h").distinct(), ["base", "h"], "left_anti")
+    return base.unionByName(extra)
 
 
-EXPAND_CONTEXT = "WITH d AS (SELECT doc_id, source, sha1(text) AS h FROM documents), b AS (SELECT * FROM d WHERE source = 'src1') SELECT * FROM b UNION ALL SELECT * FROM d WHERE source IN ('src1', 'src2') AND h NOT IN (SELECT h FROM b)"
+EXPAND_CONTEXT = """WITH d AS (SELECT doc_id, source, sha1(text) AS h FROM documents), f AS (SELECT source, lag(source) OVER (ORDER BY source) AS base FROM (SELECT DISTINCT source FROM documents)), b AS (SELECT source AS base, doc_id, h FROM d)
+SELECT base, doc_id, h FROM b UNION ALL SELECT f.base, d.doc_id, d.h FROM d JOIN f USING (source) WHERE f.base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.base = f.base AND b.h = d.h)"""
 
 
 def _checks(spark: SparkSession) -> DataFrame:

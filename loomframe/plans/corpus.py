@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
-from ..functions import text
+from ..functions import canon, text
+from ..functions.canon import canon_sql
 from ..operators import chunking, lint
 from ..sources import read
 
@@ -133,18 +134,19 @@ SELECT source, before + 1 AS first, doc_id - 1 AS last FROM d WHERE doc_id > bef
 
 
 def cross_source_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources aligned by the documents' place in each: equal, different, or only in one."""
-    d = read(spark, sf_dir, "documents")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = d.filter("source in ('src1', 'src2')").select("source", place.alias("n"), F.md5(F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]", "")).cast("binary")).alias("c"))
-    a, b = (d.filter(F.col("source") == s).select("n", F.col("c").alias(c)) for s, c in (("src1", "a"), ("src2", "b")))
+    """Each source against the next by name, aligned by number (here: tens of ids): equal in the comparison form, different, or only in one."""
+    d = read(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 10).alias("n"), F.md5(canon.canon(F.col("text")).cast("binary")).alias("c"))
+    d = d.groupBy("source", "n").agg(F.min("c").alias("c"))
+    follows = d.select("source").distinct().withColumn("other", F.lead("source").over(Window.orderBy("source"))).filter("other is not null")  # one row per source
+    a = d.join(follows, "source").select("source", "n", F.col("c").alias("a"))
+    b = d.withColumnRenamed("source", "other").join(follows, "other").select("source", "n", F.col("c").alias("b"))
     state = F.when(F.col("a").isNull(), "only second").when(F.col("b").isNull(), "only first").when(F.col("a") == F.col("b"), "equal").otherwise("different")
-    return a.join(b, "n", "full").select("n", state.alias("state"))
+    return a.join(b, ["source", "n"], "full").select("source", "n", state.alias("state"))
 
 
-CROSS_SOURCE_DIFF = """WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, md5(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS c FROM documents WHERE source IN ('src1', 'src2')),
-a AS (SELECT n, c AS a FROM d WHERE source = 'src1'), b AS (SELECT n, c AS b FROM d WHERE source = 'src2')
-SELECT n, CASE WHEN a IS NULL THEN 'only second' WHEN b IS NULL THEN 'only first' WHEN a = b THEN 'equal' ELSE 'different' END AS state FROM a FULL JOIN b USING (n)"""
+CROSS_SOURCE_DIFF = f"""WITH d AS (SELECT source, doc_id // 10 AS n, min(md5({canon_sql('text')})) AS c FROM documents GROUP BY 1, 2), f AS (SELECT source, lead(source) OVER (ORDER BY source) AS other FROM (SELECT DISTINCT source FROM documents)),
+a AS (SELECT source, n, c AS a FROM d JOIN f USING (source) WHERE other IS NOT NULL), b AS (SELECT f.source, n, c AS b FROM d JOIN f ON f.other = d.source)
+SELECT source, n, CASE WHEN a IS NULL THEN 'only second' WHEN b IS NULL THEN 'only first' WHEN a = b THEN 'equal' ELSE 'different' END AS state FROM a FULL JOIN b USING (source, n)"""
 
 
 def outline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

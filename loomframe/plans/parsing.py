@@ -149,15 +149,6 @@ BIGRAMS = (
 )
 
 
-def canon_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that agree once case, punctuation and white space are gone, by that form."""
-    canon = F.regexp_replace(F.lower(F.col("text")), r"[^a-z0-9]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(canon.cast("binary")).alias("canon")).groupBy("canon").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
-CANON_COMPARE = "SELECT md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS canon, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"
-
-
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character-pair similarity of each benchmark passage to the passage before it."""
     b = read(spark, sf_dir, "benchmark").select("item_id", text.char_pairs(F.col("text"), text.PAIRS_PLAIN).alias("g"))
@@ -168,5 +159,5 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 JACCARD_PAIRS = f"""WITH s AS MATERIALIZED (SELECT item_id, {strip_sql('text', text.PAIRS_PLAIN)} AS t FROM benchmark), b AS MATERIALIZED (SELECT item_id, {pairs_sql('t')} AS g FROM s)
 SELECT b.item_id, round(CASE WHEN len(b.g) = 0 OR len(p.g) = 0 THEN 0 ELSE len(list_intersect(b.g, p.g))::DOUBLE / len(list_distinct(list_concat(b.g, p.g))) END, 6) AS jaccard FROM b JOIN b p ON p.item_id + 1 = b.item_id"""
 
-QUERIES = {f.__name__: f for f in (cn_numeral, norm_source_name, extract_refs, parse_query, extract_citations, content_hash, bigrams, canon_compare, jaccard_pairs)}
+QUERIES = {f.__name__: f for f in (cn_numeral, norm_source_name, extract_refs, parse_query, extract_citations, content_hash, bigrams, jaccard_pairs)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
