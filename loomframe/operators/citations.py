@@ -48,3 +48,9 @@ def report(checks: DataFrame, key: str) -> DataFrame:
     """Counts by status of each answer."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in SEVERITY]
     return checks.groupBy(key).agg(F.count("*").alias("total"), *counts, F.bool_or(F.col("status") != "verified").alias("has_problem"))
+
+
+def by_severity(checks: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``: the order in which an answer's checks are shown, the gravest first, then by number."""
+    rank = F.coalesce(*(F.when(F.col("status") == s, n) for s, n in SEVERITY.items()))
+    return checks.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(rank, "number", F.coalesce("law", F.lit("")))))

@@ -26,11 +26,6 @@ STREAM = table(
     (1, 'event: meta\ndata: {"a": 1}\n\nevent: token\ndata: {"t": "he"}\n\nevent: token\ndata: {"t": \ndata: "llo"}\n\nevent: done\ndata: {}'), (2, "event: status\nevent: error\ndata: {\"m\": 2}\n\ndata: {bad\n\n"), (3, ""),
 )
 FRAGMENTS = table("call string, seq int, idx int, name string, args string", ("x", 1, 0, "search", '{"q"'), ("x", 2, 0, None, ': "a"}'), ("x", 3, 2, "get", "{"), ("x", 4, 2, None, "}"), ("y", 1, 0, "list", ""))
-REPLIES = table("id int, answer string, context string", (1, "依据第20条，期限为30日。", "第20条 期限为30日"), (2, "没有数字", "什么也没有"), (3, "第5条规定三年。第9条另有规定。", "第5条 三年"))
-#: What a fabricated reference adds to the largest number, swaps of numbers, and phrases that no source has.
-FAKE_OFFSET = 777
-SWAPS = (("三年", "五年"), ("五年", "三年"), ("30日", "60日"), ("60日", "30日"), ("二年", "三年"), ("一年", "二年"), ("十五日", "三十日"), ("三十日", "十五日"))
-PHRASES = ("另需缴纳保证金。", "并应在公证处登记。")
 NAMES = table("id int, name string", (1, "合同 范本(1).md"), (2, "../etc/passwd"), (3, "a" * 80 + ".md"), (4, "民法典.md"), (5, "x/y.md"), (6, "note.txt"), (7, "a\\b.md"))
 BATCH = table("req string, idx int, dim int", ("a", 1, 4), ("a", 0, 4), ("b", 0, 4), ("c", 0, 4), ("c", 0, 4), ("d", 0, 3), ("d", 1, 4))
 ASKED = table("req string, n int", ("a", 2), ("b", 2), ("c", 2), ("d", 2), ("e", 1))
@@ -124,22 +119,6 @@ ASSEMBLE_FRAGMENTS = f"""WITH f AS {FRAGMENTS.sql()}, p AS (SELECT call, idx, ma
 SELECT s.call, s.idx, coalesce(name, '') AS name, coalesce(args, '') AS args FROM s LEFT JOIN p USING (call, idx)"""
 
 
-def inject_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Altered answers with a known defect, only where the text really changes."""
-    numbers = F.transform(F.regexp_extract_all("answer", F.lit(r"第(\d+)条"), F.lit(1)), lambda x: x.cast("int"))
-    first = F.regexp_extract("answer", r"第\d+条", 0)
-    fake = F.when(F.size(numbers) > 0, F.replace(F.col("answer"), first, F.concat(F.lit("第"), (F.array_max(numbers) + FAKE_OFFSET).cast("string"), F.lit("条"))))
-    number = F.coalesce(*(F.when(F.contains("answer", F.lit(a)) & F.contains("context", F.lit(a)), F.replace("answer", F.lit(a), F.lit(b))) for a, b in SWAPS))
-    phrase = F.coalesce(*(F.when(~F.contains("context", F.lit(p)), F.concat("answer", F.lit(p))) for p in PHRASES))
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("altered")) for k, c in (("fabricated_cite", fake), ("distorted_number", number), ("unsupported_append", phrase))))
-    out = REPLIES.df(spark).select("id", "answer", F.explode(kinds).alias("m")).select("id", "answer", "m.kind", "m.altered")
-    return out.filter((F.col("altered") != F.col("answer"))).select("id", "kind", "altered")
-
-
-INJECT_DEFECTS = """SELECT * FROM (VALUES (1, 'fabricated_cite', '依据第797条，期限为30日。'), (1, 'distorted_number', '依据第20条，期限为60日。'), (1, 'unsupported_append', '依据第20条，期限为30日。另需缴纳保证金。'), (2, 'unsupported_append', '没有数字另需缴纳保证金。'),
-(3, 'fabricated_cite', '第786条规定三年。第9条另有规定。'), (3, 'distorted_number', '第5条规定五年。第9条另有规定。'), (3, 'unsupported_append', '第5条规定三年。第9条另有规定。另需缴纳保证金。')) t(id, kind, altered)"""
-
-
 def sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.regexp_replace("name", r"(?i)\.md$", "")
     return NAMES.df(spark).select("id", F.substring(F.regexp_replace(base, r"[^A-Za-z0-9_一-龥-]", "_"), 1, 60).alias("safe"))
@@ -166,5 +145,5 @@ def batch_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_REORDER = f"""WITH p AS (SELECT req, count(*) AS got, count(DISTINCT idx) AS places, max(idx) AS last, count(DISTINCT dim) AS dims FROM {BATCH.sql()} GROUP BY req)
 SELECT req, coalesce(got = n AND places = n AND last = n - 1 AND dims = 1, false) AS whole FROM {ASKED.sql()} LEFT JOIN p USING (req)"""
 
-QUERIES = {f.__name__: f for f in (format_context, parse_context, parse_rewrites, parse_claims, sse_frames, sse_parse, assemble_fragments, inject_defects, sanitize_name, path_guard, batch_reorder)}
+QUERIES = {f.__name__: f for f in (format_context, parse_context, parse_rewrites, parse_claims, sse_frames, sse_parse, assemble_fragments, sanitize_name, path_guard, batch_reorder)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
