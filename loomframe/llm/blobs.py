@@ -1,8 +1,8 @@
 """Bulk shuffle of numpy arrays: one row per batch and bucket instead of one per item.
 
 A task packs what it found in a few MB of text into one zstd frame per bucket;
-after the shuffle a task unpacks the frames of its buckets.  Buckets follow the
-number of shuffle partitions, so each stays small at any input size.
+after the shuffle a task unpacks the frames of its one bucket.  The number of
+buckets follows the bytes of the input (``tables.bucket_count``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -39,22 +40,15 @@ def batch(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 
 def deal(df: DataFrame, buckets: int) -> DataFrame:
-    """Bring the rows of a bucket together, one after another."""
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    """One partition per bucket."""
+    return df.repartitionById(buckets, F.col("bucket"))
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
-    """(bucket, its unpacked frames) from rows sorted by bucket."""
-    now, held = None, []
+def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The unpacked frames of a partition, one after another."""
     for rb in batches:
-        for k, blob in zip(rb.column("bucket").to_pylist(), rb.column("blob"), strict=True):
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(unpack(blob.as_buffer()))
-    if held:
-        yield now, held
+        for blob in rb.column("blob"):
+            yield unpack(blob.as_buffer())
 
 
 def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
 from .textkernel import chunks, spans, text_buffer
 
 SIDE = 24
@@ -230,7 +231,7 @@ def _write(id_col: str, text_col: str):
 def write_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, media: every text's UTF-8 bytes, padded with 255, as an AVI file."""
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(_write(id_col, text_col), f"`{id_col}` {kind}, n_bytes long, media binary")
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), _write(id_col, text_col), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def _read(id_col: str):
@@ -275,7 +276,8 @@ _KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64
 def read_avi(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What is read back from each file: digests of payload and file, and its shots in ``clips``."""
     kind = dict(media.dtypes)[id_col]
-    return media.select(id_col, "n_bytes", "media").mapInArrow(
+    return map_arrow(
+        media.select(id_col, "n_bytes", "media"),
         _read(id_col),
         f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, "
         "clips array<struct<first_frame: long, n_frames: long>>",

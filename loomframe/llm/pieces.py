@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
 from .textkernel import chunks, mix64, spans, text_buffer
 
 MARK = "▁"
@@ -247,7 +248,7 @@ def encode(docs: DataFrame, transducer: Transducer, text_col: str = "text", keep
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, text], [*keep, "ids", "decoded"])
 
     cols = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*cols).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, decoded string")
+    return map_arrow(docs.select(*cols), run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, transducer: Transducer, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -265,7 +266,7 @@ def decode(rows: DataFrame, transducer: Transducer, ids_col: str = "ids", keep:
             text = pa.array([x if v else None for x, v in zip(out, lists.is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), text], [*keep, "text"])
 
-    return rows.select(*keep, ids_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string")
+    return map_arrow(rows.select(*keep, ids_col), run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string")
 
 
 def summary(encoded: DataFrame) -> list:

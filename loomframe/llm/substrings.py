@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, bloom
-from .tables import bucket_count, small_batches, write_shared
+from .tables import bucket_count, map_arrow, write_shared
 from .textkernel import chunks, gram_hashes, mix64, spans as counting, text_buffer, word_hashes, words
 
 WINDOW, SEED = 13, 7
@@ -126,7 +126,8 @@ def _mark_blobs(ids, fps, pos, buckets: int) -> pa.RecordBatch:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document with all its marked places."""
-    for _, frames in blobs.gathered(batches):
+    frames = list(blobs.frames(batches))
+    if frames:
         ids = np.concatenate([f[1].view(np.int64)[f[0]] for f in frames])
         fps = np.concatenate([f[2].view(np.int64)[f[0]] for f in frames])
         pos = np.concatenate([f[3] for f in frames])
@@ -147,31 +148,33 @@ def _settle(shared: bool, buckets: int):
     """Marks of each bucket: anchors that two documents hold, or windows that an earlier document holds."""
 
     def run(batches):
-        for _, frames in blobs.gathered(batches):
-            for f in frames:
-                if not len(f[0]):
-                    yield _mark_blobs(f[2].view(np.int64)[f[1]], f[3].view(np.int64)[f[1]], f[4], buckets)
-            frames = [f for f in frames if len(f[0])]
-            if not frames:
-                continue
-            h = np.concatenate([f[0] for f in frames])
-            ids = np.concatenate([f[2].view(np.int64)[f[1]] for f in frames])
-            fps = np.concatenate([f[3].view(np.int64)[f[1]] for f in frames])
-            pos = np.concatenate([f[4] for f in frames])
-            flag = np.concatenate([f[5] for f in frames]).astype(bool)
-            order = np.lexsort((ids, h))
-            h, ids, fps, pos, flag = h[order], ids[order], fps[order], pos[order], flag[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            group = np.cumsum(first) - 1
-            later = ids != ids[np.flatnonzero(first)][group]
-            if shared:
-                many = np.zeros(int(group[-1]) + 1, bool)
-                many[group[later | flag]] = True
-                hit = many[group] & ~flag
+        frames = []
+        for f in blobs.frames(batches):
+            if len(f[0]):
+                frames.append(f)
             else:
-                hit = later
-            yield _mark_blobs(ids[hit], fps[hit], pos[hit], buckets)
+                yield _mark_blobs(f[2].view(np.int64)[f[1]], f[3].view(np.int64)[f[1]], f[4], buckets)
+        if not frames:
+            return
+        h = np.concatenate([f[0] for f in frames])
+        ids = np.concatenate([f[2].view(np.int64)[f[1]] for f in frames])
+        fps = np.concatenate([f[3].view(np.int64)[f[1]] for f in frames])
+        pos = np.concatenate([f[4] for f in frames])
+        flag = np.concatenate([f[5] for f in frames]).astype(bool)
+        del frames
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        group = np.cumsum(first) - 1
+        later = ids != ids[np.flatnonzero(first)][group]
+        if shared:
+            many = np.zeros(int(group[-1]) + 1, bool)
+            many[group[later | flag[order]]] = True
+            hit = many[group] & ~flag[order]
+        else:
+            hit = later
+        yield _mark_blobs(ids[hit], fps[order[hit]], pos[order[hit]], buckets)
 
     return run
 
@@ -241,19 +244,18 @@ def _passed(held, keep: bool):
 def repeat_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, marks): rows are id, fp, text, at; marks are id, fp, places where a repeated window starts."""
     spark = docs.sparkSession
-    small_batches(spark)
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"), bloom.places(F.col(id_col).cast("long")).alias("at"))
     told = rows.filter("id is not null").select("id", "fp", "text")
 
     def marks_of(items: DataFrame, shared: bool) -> DataFrame:
-        settled = blobs.deal(items, buckets).mapInArrow(_settle(shared, buckets), blobs.SCHEMA)
-        return write_shared(blobs.deal(settled, buckets).mapInArrow(_merge, MARKS), "marks")
+        settled = map_arrow(blobs.deal(items, buckets), _settle(shared, buckets), blobs.SCHEMA)
+        return write_shared(map_arrow(blobs.deal(settled, buckets), _merge, MARKS), "marks")
 
-    shared = marks_of(told.mapInArrow(_anchors(buckets), blobs.SCHEMA), True)
+    shared = marks_of(map_arrow(told, _anchors(buckets), blobs.SCHEMA), True)
     held = spark.sparkContext.broadcast(bloom.build(shared.select("id"), "id"))
-    some = rows.mapInArrow(_passed(held, True), "id long, fp long, text string")
-    found = some.join(shared, ["id", "fp"]).mapInArrow(_candidates(buckets), blobs.SCHEMA)
+    some = map_arrow(rows, _passed(held, True), "id long, fp long, text string")
+    found = map_arrow(some.join(shared, ["id", "fp"]), _candidates(buckets), blobs.SCHEMA)
     return rows, marks_of(found, False)
 
 
@@ -296,7 +298,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     rows, marks = repeat_marks(docs, id_col, text_col)
     held = spark.sparkContext.broadcast(bloom.build(marks.select("id"), "id"))
-    whole = rows.mapInArrow(_passed(held, False), "id long, fp long, text string").mapInArrow(_keep, KEPT)
-    some = rows.mapInArrow(_passed(held, True), "id long, fp long, text string").join(marks, ["id", "fp"], "left")
-    out = whole.unionByName(some.select("id", "fp", "text", "pos").mapInArrow(_keep, KEPT))
+    text = "id long, fp long, text string"
+    whole = map_arrow(map_arrow(rows, _passed(held, False), text), _keep, KEPT)
+    some = map_arrow(rows, _passed(held, True), text).join(marks, ["id", "fp"], "left")
+    out = whole.unionByName(map_arrow(some.select("id", "fp", "text", "pos"), _keep, KEPT))
     return out.withColumnRenamed("id", id_col)

@@ -1,8 +1,11 @@
-"""Reading the tables, and places that all executors share."""
+"""Reading the tables, places that all executors share, and Python workers that give memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,40 +16,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.  Where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, since executors share no such folder.
+    """
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
-        there = "/tmp/loomframe-checkpoints"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        there = tempfile.mkdtemp(prefix="loomframe-")
+        spark.conf.set("spark.checkpoint.dir", there)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; survives lost executors."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage; survives lost executors.
+
+    ``few``: a small table from many tasks is gathered into files of the advisory size first.
+    """
+    shared_dir(df.sparkSession)
+    return (df.hint("rebalance") if few else df).checkpoint(eager=True)
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """As ``cut`` but as Parquet, so that later reads can prune columns."""
+    """As ``cut`` but as Parquet, so that later reads can prune columns.  ``clear_shared`` deletes what an application wrote."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote.  Results that are not yet read need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomframe-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes that Spark hands to a Python worker at once, unless the session bounds them lower."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jsparkSession.sessionState().conf().getConfString(key)
-    if now.lower().strip("b").isdigit() and int(now.lower().strip("b")) > 16 << 20:
-        spark.conf.set(key, size)
+    if now.lower().strip("b").isdigit() and int(now.lower().strip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
+def lean(fn: Callable) -> Callable:
+    """The same function over batches; at its end the worker gives freed memory back to the system.
+
+    Workers are kept for later tasks, and would hold what the largest of them needed.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size, by workers that give memory back."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(fn), schema)
+
+
+#: Bytes of input for each shuffle bucket, where that makes more buckets than the session's shuffle partitions.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Shuffle buckets for what is made of ``df``: they follow its bytes as Spark estimates them, not the session alone."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df is None:
+        return n
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < 1 << 60 else n  # beyond that it is not an estimate
 
 
 def fold_of(col: str, folds: int):
