@@ -8,13 +8,14 @@ divided by the length in words, and a logistic curve fitted on the same rows
 turns that density into a score.
 
 Learning reads a sample of labelled rows bounded by ``max_rows`` (in expectation;
-chosen by a hash of the id, copies of one opening counted once).  The lexicon has
-at most ``max_terms`` terms; it and the curve are all that is broadcast.
+chosen by a hash of the id), of equal texts with equal labels one.  Every word beginning of
+the sample is weighed; the terms that pass, at most as many as the sample has, and the curve are all that is broadcast.
 
 Defined cases: null and empty texts score as a text without hits; without toxic
 rows to learn from the lexicon is empty and all scores are the base rate; labels
-other than 0 and 1 and null ids are never learned from; rows that repeat an id
-are scored each for itself; extra columns are ignored; an empty table gives no rows.
+other than 0 and 1 and null ids are never learned from; of several labels of one id the larger counts;
+terms of equal weight are ordered by name; rows that repeat an id, or have none, are scored each for itself;
+a text is scored as a whole, however long; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut, map_arrow
+
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнɡαεοριυνκτ", "aeopcyxijsdhkmtbhgaeopiuvkt", strict=True))
 SUBSTITUTES = dict(zip("0134578@$", "oieastbas", strict=True))
@@ -74,23 +77,18 @@ def stems(folded: str) -> Counter:
     return out
 
 
-def _count_stems(wanted=None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: Counter = Counter()
-        places: Counter = Counter()
-        for rb in batches:
-            for t in rb.column("text").to_pylist():
-                s = stems(fold(t))
-                if wanted is not None:
-                    s = {x: s[x] for x in s.keys() & wanted.value}
-                docs.update(s.keys())
-                places.update(s)
-        names = list(docs)
-        for i in range(0, len(names), 1 << 16):
-            part = names[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([docs[x] for x in part], pa.int64()), pa.array([places[x] for x in part], pa.int64())], ["stem", "docs", "places"])
-
-    return run
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        places: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for t, y in zip(rb.column("text").to_pylist(), rb.column("toxic").to_pylist(), strict=True):
+            s = stems(fold(t))
+            docs[y].update(s.keys())
+            places[y].update(s)
+        for y, seen in docs.items():
+            names = list(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([y] * len(names), pa.int32()), pa.array([seen[x] for x in names], pa.int64()), pa.array([places[y][x] for x in names], pa.int64())], ["stem", "toxic", "docs", "places"])
 
 
 class Lexicon:
@@ -138,46 +136,38 @@ def _lexicon(weights, exceptions):
     return Lexicon(weights, exceptions)
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 4096, least: int = 3, share: float = 0.004, odds: float = 1.5, evidence: float = 8.0) -> Lexicon:
+def learn_lexicon(rows: DataFrame, least: int = 3, share: float = 0.004, odds: float = 1.5, evidence: float = 8.0) -> Lexicon:
     """From rows of (text, toxic).
 
     A term's weight is the log odds of its rate per word.  It needs that weight, ``least``
     toxic texts (and a ``share`` of them), and ``evidence``: the log-likelihood ratio of its text counts.
-    Of terms that begin one another the one that explains most is kept.
+    Of terms that begin one another the one that explains most is kept.  All word beginnings are
+    counted and weighed; those with the weight reach the driver, at most as many as the sample has.
     """
-    spark = rows.sparkSession
     size = F.regexp_count("text", F.lit(r"\S+"))
     n = {r["toxic"]: (r["n"], r["w"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(size).alias("w")).collect()}
     (n_pos, w_pos), (n_neg, w_neg) = n.get(1, (0, 0)), n.get(0, (0, 0))
     least = max(least, int(share * n_pos))
-    kind = "stem string, docs long, places long"
-    total = (F.sum("docs").alias("docs"), F.sum("places").alias("places"))
-    pos = rows.filter("toxic = 1").select("text").mapInArrow(_count_stems(), kind).groupBy("stem").agg(*total).filter(F.col("docs") >= least)
-    pos = {r["stem"]: (r["docs"], r["places"]) for r in pos.orderBy(F.desc("docs"), "stem").limit(16 * max_terms).collect()}
-    if not pos:
-        return Lexicon({})
-    wanted = spark.sparkContext.broadcast(set(pos))
-    neg = rows.filter("toxic = 0").select("text").mapInArrow(_count_stems(wanted), kind).groupBy("stem").agg(*total)
-    neg = {r["stem"]: (r["docs"], r["places"]) for r in neg.collect()}
+    of = lambda c, y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col(c))), F.lit(0))
+    seen = map_arrow(rows.select("text", "toxic"), _count_stems, "stem string, toxic int, docs long, places long")
+    seen = seen.groupBy("stem").agg(of("docs", 1).alias("d"), of("places", 1).alias("c"), of("docs", 0).alias("d0"), of("places", 0).alias("c0"))
+    weight_of = F.log((F.col("c") + 0.5) / (w_pos + 1)) - F.log((F.col("c0") + 0.5) / (w_neg + 1))
+    seen = seen.filter(F.col("d") >= least).withColumn("w", weight_of).filter((F.col("w") >= odds) & (F.col("d") / max(1, n_pos) > F.col("d0") / max(1, n_neg)))
 
     def ratio(a: float, n: float, b: float, m: float) -> float:
         p = (a + b) / (n + m)
         return sum(x * np.log(x / (k * p)) for x, k in ((a, n), (b, m)) if x) + sum((k - x) * np.log((k - x) / (k * (1 - p))) for x, k in ((a, n), (b, m)) if x < k)
 
     value, weight = {}, {}
-    for s, (d, c) in pos.items():
-        d0, c0 = neg.get(s, (0, 0))
-        w = float(np.log((c + 0.5) / (w_pos + 1)) - np.log((c0 + 0.5) / (w_neg + 1)))
-        if w >= odds and d / max(1, n_pos) > d0 / max(1, n_neg) and ratio(d, n_pos, d0, n_neg) >= evidence:
-            value[s], weight[s] = ratio(c, w_pos, c0, w_neg), w
+    for r in seen.collect():
+        if ratio(r["d"], n_pos, r["d0"], n_neg) >= evidence:
+            value[r["stem"]], weight[r["stem"]] = ratio(r["c"], w_pos, r["c0"], w_neg), r["w"]
     chosen: dict[str, float] = {}
     begun: set[str] = set()
     for s in sorted(value, key=lambda s: (-value[s], s)):
         if s not in begun and not any(s[:k] in chosen for k in STEMS):
             chosen[s] = weight[s]
             begun.update(s[:k] for k in STEMS if k < len(s))
-            if len(chosen) == max_terms:
-                break
     return Lexicon(chosen)
 
 
@@ -210,19 +200,16 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, toxic) of a sample of about ``max_rows`` labelled rows at most, one of each opening of 64 characters."""
-    y = labels.select(F.col(id_col).alias("k"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and k is not null").dropDuplicates(["k"])
+    """(text, toxic) of a sample of about ``max_rows`` labelled rows at most, of equal texts with equal labels one."""
+    y = labels.select(F.col(id_col).alias("k"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and k is not null").groupBy("k").agg(F.max("toxic").alias("toxic"))
     total = max(1, y.count())
     if total > max_rows:
         y = y.filter(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
-    rows = docs.filter(may_learn).join(y, F.col(id_col) == F.col("k")).select(F.col(text_col).alias("text"), "toxic")
-    opening = F.xxhash64(F.substring("text", 1, 64), "toxic")
-    return rows.filter("text is not null").withColumn("o", opening).dropDuplicates(["o"]).select("text", "toxic")
+    rows = docs.filter(may_learn).select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(y, F.col("i") == F.col("k")).select("text", "toxic")
+    return rows.filter("text is not null").withColumn("h", F.md5(F.col("text").cast("binary"))).dropDuplicates(["h", "toxic"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 20_000, **cols) -> Model:
-    from .tables import cut
-
     rows = cut(labelled(docs, labels, may_learn, max_rows, **cols))
     lexicon = learn_lexicon(rows)
     held = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -232,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 2
             d = [held.value.density(t) for t in rb.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in d], pa.float64()), pa.array([x for _, x in d], pa.float64()), rb.column("toxic")], ["strong", "weak", "toxic"])
 
-    got = rows.mapInArrow(measure, "strong double, weak double, toxic int").toPandas()
+    got = map_arrow(rows, measure, "strong double, weak double, toxic int").toPandas()
     return Model(lexicon, fit_curve(got["strong"].to_numpy(), got["weak"].to_numpy(), got["toxic"].to_numpy()))
 
 
@@ -250,4 +237,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = held.value.score(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(s)], [*kept, "score"])
 
-    return docs.select(*kept, *extra).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double")
+    return map_arrow(docs.select(*kept, *extra), run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double")
