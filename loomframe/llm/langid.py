@@ -2,7 +2,9 @@
 
 Per language the characters' n-grams (n up to ``ORDER``) get interpolated
 Kneser-Ney probabilities: the highest order from counts, the lower ones from
-continuation counts, each with the absolute discount of its order.  The models of
+continuation counts, each with the absolute discount of its order, all estimated from
+the full counts.  Then the model is pruned, and the back-off weights are set so that
+each context's probabilities still sum to one.  The models of
 all languages share sorted arrays of 64-bit n-gram hashes with one row of
 log probabilities per n-gram; what an order lacks backs off to the next with that
 context's weight.  A text gets the language of lowest cross-entropy per
@@ -12,13 +14,13 @@ learning texts of that language show (the calibrated rejection; ``reject`` tells
 the entropy from which ``rejected`` is true).
 
 Learning reads a sample of rows bounded by ``max_rows`` in expectation, chosen by a
-hash of the id.  N-grams are counted in the executors; at most ``max_grams`` of each
-order and language, the most frequent, reach the driver and are broadcast.
+hash of the id, the same share of rows a language.  N-grams are counted and weighed in the executors; about ``max_grams`` of each
+order and language, the most frequent, reach the driver and are broadcast, so the model grows with the number of languages only.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; an
 empty table gives no rows; without anything to learn from all texts are ``und``;
-languages tie-break by name; rows that repeat an id are told each for itself; extra
-columns are ignored.
+languages tie-break by name; rows that repeat an id, or have none, are told each for itself;
+a very long text is read whole, in stretches of 65,536 characters; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, map_arrow
 from .textkernel import chunks, mix64, text_buffer
 
 U = np.uint64
@@ -132,15 +134,19 @@ class Model:
         c, doc = prepared(buf, off)
         total = np.zeros((n_docs, len(self.langs)))
         letters = np.bincount(doc[c != SPACE], minlength=n_docs)
+        # spaces before each document, so that no context reaches into the one before
+        place = np.arange(len(c)) + (doc + 1) * (ORDER - 1)
+        padded = np.full(len(c) + n_docs * (ORDER - 1), SPACE, np.uint32)
+        padded[place] = c
         step = 1 << 16
         for s in range(0, len(c), step):
             e = min(len(c), s + step)
-            part = c[max(0, s - ORDER) : e]
-            skip = s - max(0, s - ORDER)
+            start = max(0, int(place[s]) - ORDER)
+            part, at = padded[start : int(place[e - 1]) + 1], place[s:e] - start
             lp = np.zeros((e - s, len(self.langs)), np.float32)
             left = np.arange(e - s)
             for n in range(ORDER, 0, -1):
-                key = gram_keys(part, n)[skip:][left]
+                key = gram_keys(part, n)[at[left]]
                 i = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
                 hit = self.keys[n][i] == key
                 lp[left[hit]] += self.logp[n][i[hit]]
@@ -148,7 +154,7 @@ class Model:
                 if not len(left):
                     break
                 if n > 1:  # weight of the context for what it has not seen
-                    ctx = np.concatenate((np.zeros(1, np.uint64), gram_keys(part, n - 1)[:-1]))[skip:][left]
+                    ctx = gram_keys(part, n - 1)[at[left] - 1]
                     j = np.minimum(np.searchsorted(self.keys[n - 1], ctx), len(self.keys[n - 1]) - 1)
                     known = self.keys[n - 1][j] == ctx
                     lp[left[known]] += self.back[n - 1][j[known]]
@@ -172,74 +178,98 @@ class Model:
         return lang, np.clip(score, 0.0, 1.0), (odd > reject) | none
 
 
-def _kneser_ney(tab) -> tuple:
-    """Arrays of a model from a pandas frame of lang, n, key, context, shorter, count, left (distinct preceding characters)."""
+def probabilities(grams: DataFrame) -> DataFrame:
+    """lang, n, key, context, shorter, count, size and p: interpolated Kneser-Ney over *all* counted n-grams.
+
+    The highest order uses counts, the lower ones continuation counts (at least 1, for what only begins texts).  Each order's
+    discount is n1 / (n1 + 2 n2) of its full counts, so nothing is cut before the estimates.
+    """
+    left = grams.filter("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("shorter").alias("key")).agg(F.count("*").alias("left"))
+    full = grams.join(left, ["lang", "n", "key"], "left")
+    full = full.withColumn("c", F.when(F.col("n") == ORDER, F.col("count")).otherwise(F.greatest(F.coalesce("left", F.lit(1)), F.lit(1))).cast("double")).drop("left")
+    n1, n2 = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+    discount = full.groupBy("lang", "n").agg(F.when(n1 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5).alias("d"))
+    context = full.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    size = grams.filter("n = 1").agg((F.countDistinct("key") + 1).alias("size"))
+    full = cut(full.join(F.broadcast(discount), ["lang", "n"]).join(context, ["lang", "n", "context"]).crossJoin(F.broadcast(size)))  # one row a language and order; one row
+    own = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+    rest = F.col("d") * F.col("kinds") / F.col("total")
+    out = ["lang", "n", "key", "context", "shorter", "count", "size", "p"]
+    done = [cut(full.filter("n = 1").withColumn("p", own + rest / F.col("size")).select(*out))]
+    for n in range(2, ORDER + 1):
+        low = done[-1].select("lang", F.col("key").alias("shorter"), F.col("p").alias("low"))
+        done.append(cut(full.filter(F.col("n") == n).join(low, ["lang", "shorter"]).withColumn("p", own + rest * F.col("low")).select(*out)))
+    whole = done[0]
+    for x in done[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def pruned(probs: DataFrame, max_grams: int) -> DataFrame:
+    """The ``max_grams`` most frequent n-grams of each order and language, and the contexts and suffixes of those kept.
+
+    Probabilities stay those of the whole model; what is left out gets its share back through the back-off weights.
+    """
+    top = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "key"))
+    ranked = cut(probs.withColumn("r", top))
+    kept = ranked.filter((F.col("n") == ORDER) & (F.col("r") <= max_grams))
+    above = kept
+    for n in range(ORDER - 1, 0, -1):
+        need = above.select("lang", F.col("shorter").alias("key")).unionByName(above.select("lang", F.col("context").alias("key"))).distinct().withColumn("needed", F.lit(True))
+        above = ranked.filter(F.col("n") == n).join(need, ["lang", "key"], "left").filter((F.col("r") <= max_grams) | F.col("needed")).drop("needed")
+        kept = kept.unionByName(above)
+    return kept.drop("r")
+
+
+def _arrays(tab) -> tuple:
+    """Arrays of a model from a pandas frame of lang, n, key, context, shorter, size, p that holds every context and suffix."""
     langs = sorted(tab["lang"].unique())
     keys, logp, back = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
-    size = max(1, tab[tab["n"] == 1]["key"].nunique()) + 1
-    base = np.full(len(langs), -np.log(size), np.float32)
+    size = int(tab["size"].iloc[0])
+    base = np.zeros(len(langs), np.float64)
+    by = {n: tab[tab["n"] == n] for n in range(1, ORDER + 1)}
     prob: dict[int, np.ndarray] = {}
+    weight: dict[int, np.ndarray] = {}
     for n in range(1, ORDER + 1):
-        keys[n] = np.unique(tab[tab["n"] == n]["key"].to_numpy().view(np.uint64))
-        logp[n] = np.zeros((len(keys[n]), len(langs)), np.float32)
-        back[n] = np.zeros((len(keys[n]), len(langs)), np.float32)
-    for j, name in enumerate(langs):
-        for n in range(1, ORDER + 1):
-            t = tab[(tab["lang"] == name) & (tab["n"] == n)]
-            k, ctx, short = (t[x].to_numpy().view(np.uint64) for x in ("key", "context", "shorter"))
-            c = (t["count"] if n == ORDER else t["left"]).to_numpy().astype(np.float64)
-            c = np.maximum(c, 1)
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-            seen, inv = np.unique(ctx, return_inverse=True)
-            total = np.bincount(inv, c, len(seen))
-            kinds = np.bincount(inv, minlength=len(seen))
-            gamma = discount * kinds / np.maximum(total, 1e-9)
-            full = np.full(len(keys[n]), np.nan)
-            at = np.searchsorted(keys[n], k)
-            if n == 1:
-                lower = np.full(len(k), 1.0 / size)
-                weight = np.full(len(k), float(gamma[0]) if len(gamma) else 1.0)
-                base[j] = np.log(max(float(gamma[0]) if len(gamma) else 1.0, 1e-9) / size)
-            else:
-                lower = prob[n - 1][np.minimum(np.searchsorted(keys[n - 1], short), len(keys[n - 1]) - 1)]
-                weight = gamma[inv]
-                i = np.minimum(np.searchsorted(keys[n - 1], seen), len(keys[n - 1]) - 1)
-                ok = keys[n - 1][i] == seen
-                back[n - 1][i[ok], j] = np.log(np.maximum(gamma[ok], 1e-9))
-            full[at] = np.maximum(c - discount, 0) / total[inv] + weight * lower
-            # n-grams that only other languages have: back off within this one
-            miss = np.flatnonzero(np.isnan(full))
-            if len(miss):
-                if n == 1:
-                    full[miss] = np.exp(base[j])
-                else:
-                    other = tab[tab["n"] == n].drop_duplicates("key").set_index("key")
-                    row = other.loc[keys[n][miss].view(np.int64)]
-                    s = prob[n - 1][np.minimum(np.searchsorted(keys[n - 1], row["shorter"].to_numpy().view(np.uint64)), len(keys[n - 1]) - 1)]
-                    q = np.searchsorted(seen, row["context"].to_numpy().view(np.uint64))
-                    q = np.minimum(q, max(len(seen) - 1, 0))
-                    known = (seen[q] == row["context"].to_numpy().view(np.uint64)) if len(seen) else np.zeros(len(miss), bool)
-                    full[miss] = np.where(known, gamma[q] if len(seen) else 1.0, 1.0) * s
-            prob[n] = np.maximum(full, 1e-12)
-            logp[n][:, j] = np.log(prob[n])
-    return langs, keys, logp, back, base
+        t = by[n]
+        k, context, shorter = (t[x].to_numpy().view(np.uint64) for x in ("key", "context", "shorter"))
+        keys[n], first = np.unique(k, return_index=True)
+        row, lang = np.searchsorted(keys[n], k), np.searchsorted(langs, t["lang"].to_numpy().astype(str))
+        p = np.full((len(keys[n]), len(langs)), np.nan)
+        p[row, lang] = t["p"].to_numpy()
+        if n == 1:
+            seen = np.isfinite(p)
+            base = np.maximum(1 - np.where(seen, p, 0).sum(0), 1e-9) / np.maximum(size - seen.sum(0), 1)
+            lower = np.broadcast_to(base, p.shape)
+        else:
+            # the mass that a context's kept n-grams leave, over what the order below leaves for the others
+            low = prob[n - 1][np.searchsorted(keys[n - 1], shorter), lang]
+            at = np.searchsorted(keys[n - 1], context)
+            used, shared = np.zeros(prob[n - 1].shape), np.zeros(prob[n - 1].shape)
+            np.add.at(used, (at, lang), t["p"].to_numpy())
+            np.add.at(shared, (at, lang), low)
+            weight[n - 1] = np.maximum(1 - used, 1e-9) / np.maximum(1 - shared, 1e-9)
+            lower = weight[n - 1][np.searchsorted(keys[n - 1], context[first])] * prob[n - 1][np.searchsorted(keys[n - 1], shorter[first])]
+        prob[n] = np.where(np.isfinite(p), p, lower)
+        logp[n] = np.log(np.maximum(prob[n], 1e-12)).astype(np.float32)
+    for n in range(1, ORDER + 1):
+        back[n] = np.log(weight.get(n, np.ones(prob[n].shape))).astype(np.float32)
+    return langs, keys, logp, back, np.log(base).astype(np.float32)
 
 
 def fit(docs: DataFrame, may_learn: Column, max_rows: int = 12_000, max_grams: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not per:
+    n_rows = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), max_rows / F.count("*").over(Window.partitionBy()) / F.col("n"))  # one row a language
+    share = n_rows.withColumn("share", share).select(F.col("lang").alias("l"), "share")
+    drawn = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    some = cut(rows.join(share, F.col("lang") == F.col("l")).filter(drawn).select("lang", "text"))
+    grams = map_arrow(some, _count, "lang string, n int, key long, context long, shorter long, count long")
+    grams = cut(grams.groupBy("lang", "n", "key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count")))
+    tab = pruned(probabilities(grams), max_grams).toPandas()
+    if not len(tab):
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, max_rows / len(per) / n))) for k, n in per.items()))
-    some = cut(rows.filter(F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text"))
-    grams = some.mapInArrow(_count, "lang string, n int, key long, context long, shorter long, count long")
-    grams = grams.groupBy("lang", "n", "key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count"))
-    grams = cut(grams)
-    left = grams.filter("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("shorter").alias("key")).agg(F.count("*").alias("left"))
-    top = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "key"))
-    tab = grams.withColumn("r", top).filter(F.col("r") <= max_grams).join(left, ["lang", "n", "key"], "left").select("lang", "n", "key", "context", "shorter", "count", F.coalesce("left", F.lit(1)).alias("left")).toPandas()
-    parts = _kneser_ney(tab)
+    parts = _arrays(tab)
     flat = Model(*parts, np.zeros(len(parts[0])), np.ones(len(parts[0])), 1.0)
     held = docs.sparkSession.sparkContext.broadcast(flat)
 
@@ -254,7 +284,7 @@ def fit(docs: DataFrame, may_learn: Column, max_rows: int = 12_000, max_grams: i
                 rest[np.arange(b - a), j] = np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int64)), pa.array(own), pa.array(rest.min(1) - own), pa.array(letters.astype(np.int64))], ["j", "h", "gap", "letters"])
 
-    got = some.mapInArrow(measure, "j long, h double, gap double, letters long").filter("letters > 0").groupBy("j").agg(
+    got = map_arrow(some, measure, "j long, h double, gap double, letters long").filter("letters > 0").groupBy("j").agg(
         F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd"), F.expr("percentile_approx(gap, 0.05)").alias("gap")).toPandas().sort_values("j")
     k = len(parts[0])
     mean, sd = np.full(k, got["mean"].mean() if len(got) else 0.0), np.ones(k)
@@ -279,4 +309,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     lang, score, odd = held.value.decide(*held.value.entropies(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score), pa.array(odd)], [id_col, "lang_pred", "score", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")

@@ -286,6 +286,74 @@ def test_language_id(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def kneser_ney(texts, order):
+    """Probability of a character after a context, interpolated, from raw counts."""
+    grams = [{} for _ in range(order + 1)]
+    for t in texts:
+        for n in range(1, order + 1):
+            for i in range(len(t) - n + 1):
+                grams[n][t[i : i + n]] = grams[n].get(t[i : i + n], 0) + 1
+    counts = [None, *[{g: max(1, sum(h[1:] == g for h in grams[n + 1])) if n < order else c for g, c in grams[n].items()} for n in range(1, order + 1)]]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        c = counts[len(g)]
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 else 0.5
+        after = {h: v for h, v in c.items() if h[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total = sum(after.values())
+        return max(after.get(g, 0) - d, 0) / total + d * len(after) / total * p(g[1:])
+
+    return p
+
+
+def test_language_models_equal_brute_force(spark):
+    texts = ["abracadabra abba", "bad cab dab", "a cad bab bad"]
+    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    shown = [f" {t} " for t in texts]
+    c, doc = langid.prepared(*textkernel.text_buffer(pa.array(texts)))
+    shown = ["".join(map(chr, c[doc == i].tolist())) for i in range(len(texts))]
+    p = kneser_ney(shown, langid.ORDER)
+    for text in ("abracadabra", "dab cab", "ccc ddd", "xyz ab"):
+        buf, off = textkernel.text_buffer(pa.array([text]))
+        c, _ = langid.prepared(buf, off)
+        s = "".join(map(chr, c.tolist()))
+        want = -sum(np.log(p((" " * langid.ORDER + s)[i + 1 : i + 1 + langid.ORDER])) for i in range(len(s))) / len(s)
+        assert model.entropies(buf, off)[0][0, 0] == pytest.approx(want, rel=1e-4)
+
+
+def test_pruned_language_models_still_sum_to_one(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aaabbcd ") for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    m = langid.fit(df, F.lit(True), max_grams=12)
+    known = [ord(x) for x in "abcd "]
+    for context in ("aaa", "abd", "dcd", "b a"):
+        total = 0.0
+        for x in [*known, ord("x")]:
+            chars = np.array([ord(y) for y in context] + [x], np.uint32)
+            lp = 0.0
+            for n in range(langid.ORDER, 0, -1):
+                key = langid.gram_keys(chars, n)[-1]
+                i = np.searchsorted(m.keys[n], key)
+                if i < len(m.keys[n]) and m.keys[n][i] == key:
+                    lp += m.logp[n][i, 0]
+                    break
+                if n == 1:
+                    lp += m.base[0]
+                    break
+                ctx = langid.gram_keys(chars, n - 1)[-2]
+                j = np.searchsorted(m.keys[n - 1], ctx)
+                if j < len(m.keys[n - 1]) and m.keys[n - 1][j] == ctx:
+                    lp += m.back[n - 1][j, 0]
+            total += np.exp(lp)
+        assert total == pytest.approx(1.0, rel=1e-3)
+
+
 def test_prepared_characters_keep_documents_apart():
     texts = ["Ab, c", "", "é1é", "...", "x"]
     buf, off = textkernel.text_buffer(pa.array(texts))
