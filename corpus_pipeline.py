@@ -38,8 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix holds it."""
-    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.max("times").cast("int").alias("times"))
+    """Each document as often as the mix holds it.
+
+    ``doc_id`` is the key.  Rows that repeat id, source and size share their turns: each gets the same number, rounded by a hash.
+    """
+    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.count("*").alias("m"), F.sum("times").cast("long").alias("all"))
+    up = F.pmod(F.xxhash64("i", "s", "n", F.lit("mix")), F.col("m")) < F.col("all") % F.col("m")
+    times = times.withColumn("times", (F.floor(F.col("all") / F.col("m")) + up.cast("int")).cast("int"))
     size = mixing.word_count(F.col("text"))
     held = docs.join(times.filter("times > 0"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (size == F.col("n")))
     return held.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)

@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 Lines are counted once per page within their host; a line is boilerplate if it
-stands on more than ``ratio`` of the host's pages and on at least ``least`` of
-them.  A page has few lines, so a host has at most (lines per page) / ratio such
+stands on more than ``ratio`` of the host's pages.  It must repeat: by default a line of
+a single page is none, however few pages the host has (``least`` = 2 pages; a caller may ask for more).  A page has few lines, so a host has at most (lines per page) / ratio such
 lines: they travel as one short array per host, which is joined to the host's
 pages.  The pages themselves are not exploded or regrouped, and a host that
 holds a third of all rows is only split, never gathered: counts are summed before
@@ -13,8 +13,9 @@ Lines are compared by 96 bits of hash of their trimmed text.
 Defined cases: a null text has no lines and stays null; empty lines are always
 kept and never counted; a line that repeats within a page counts once; pages of
 a null host form a host; hosts with fewer than ``least`` pages lose nothing; a
-page may end up empty but is never removed; extra columns are dropped unless
-named in ``keep``; an empty table gives no rows.
+page may end up empty but is never removed; rows that repeat or lack an id are pages of
+their own; a line at exactly the ratio stays; a very long page is one array of its lines
+in one task; extra columns are dropped unless named in ``keep``; an empty table gives no rows.
 
 Copies.  Where pages may be copies of one another, ``copies`` names their key.
 Equal texts of a host then count as one page, so a line is not boilerplate because
@@ -66,7 +67,7 @@ def _first_holders(base: DataFrame, often: DataFrame, copies: str) -> DataFrame:
     return first.groupBy("__h", "__id").agg(F.collect_list("key").alias("__spare"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.2, least: int = 5, keep: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = 0.2, least: int = 2, keep: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
     """The ``keep`` columns, host, n_lines, n_dropped and the text without its boilerplate lines.
 
     ``copies``: one of ``keep``, the key of pages that may be copies of one another.

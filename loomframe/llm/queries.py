@@ -152,7 +152,7 @@ def _line_dedup_sql() -> str:
 WITH page AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) AS host, {text} AS text FROM pages),
 line AS (SELECT page_id, host, i, l, trim(l) AS key FROM (SELECT page_id, host, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM page)),
 total AS (SELECT host, count(*) AS pages FROM page GROUP BY host),
-often AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM line WHERE key <> '' GROUP BY host, key) JOIN total USING (host) WHERE n >= 5 AND n > 0.2 * pages)
+often AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM line WHERE key <> '' GROUP BY host, key) JOIN total USING (host) WHERE n >= 2 AND n > 0.2 * pages)
 SELECT l.page_id, l.host, count(*) FILTER (WHERE l.key <> '')::BIGINT AS n_lines, count(o.key)::BIGINT AS n_dropped,
   coalesce(string_agg(l.l, chr(10) ORDER BY l.i) FILTER (WHERE o.key IS NULL), '') AS text
 FROM line l LEFT JOIN often o ON l.host = o.host AND l.key = o.key GROUP BY l.page_id, l.host"""

@@ -245,6 +245,12 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(frame(spark, rows).limit(0), host="source").count() == 0
 
 
+def test_small_hosts_lose_their_boilerplate(spark):
+    rows = [(i, f"menu\nown {i}", f"h{n}") for n in range(1, 7) for i in range(100 * n, 100 * n + n)]
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(frame(spark, rows), host="source", keep=("doc_id",)).collect()}
+    assert got == {i: t if h == "h1" else f"own {i}" for i, t, h in rows}
+
+
 def test_toxicity_learns_and_folds(spark):
     rng = random.Random(7)
     words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in ("lor", "mit", "tun", "rex")]
