@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-``Transducer`` compiles three machines: the normaliser (one mark before the text,
-spaces to marks), the pieces (an acceptor of every piece's characters) and the
-byte fallback (arcs for characters that no piece has).  Composed with an input
-they form a lattice whose states are (place, last piece); encoding is its
-shortest path in the tropical semiring.
+``load`` reads a model file and compiles three machines:
+
+* the *normaliser*, from the model's own rules: spaces to marks, a mark before the text, runs of spaces to one;
+* the *pieces*: a deterministic acceptor whose arcs are characters and whose final states give a piece and its cost;
+* the *fallback*: for each character that no piece has, arcs that give its bytes (or the unknown piece) at a cost.
+
+``Transducer.compose`` walks the machines along an input and gives the arcs of their
+composition, a lattice of (from, to, piece, cost); ``shortest_path`` is its best path in the
+tropical semiring (costs are added along a path, the least of all paths counts).
 
 * ``unigram``: an arc costs minus its piece's score.
-* ``bpe``: an arc costs nothing if its piece may follow the last one, else it is
-  missing (infinite).  A piece may follow another if merging their joined characters
+* ``bpe``: states are (place, last piece) and an arc costs nothing, or infinity where its piece
+  may not follow the last one.  A piece may follow another if merging their joined characters
   gives the two back.  A sequence of pieces is what merging gives for the whole
   text exactly if all neighbours are such pairs, so one path is finite and it is the encoding.
 
@@ -16,14 +20,22 @@ A place whose two characters stand side by side in no piece can never lie inside
 one: the input is cut there, and equal stretches are composed once per chunk and kept in a bounded
 cache.  Decoding gathers the pieces' bytes and undoes the normaliser.
 
+Not supported, and refused when a model is read: character maps (``precompiled_charsmap``) and marks after words.
+
 Defined cases: null texts have null ids; empty texts have none; a mark (U+2581)
-in the text decodes to a space, all else comes back exactly; repeated rows and
-ids are encoded each for itself; extra columns are dropped; an empty table gives no rows.
+in the text decodes to a space, all else comes back exactly unless the model itself merges spaces;
+of paths of equal cost the one whose last piece is longest counts; repeated rows and
+ids, and rows without an id, are encoded each for itself; a very long text is one chunk, cut into stretches;
+extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +49,37 @@ MARK = "▁"
 U = np.uint64
 #: Entries kept of encoded stretches and of piece pairs, in one worker.
 CACHE = 400_000
+#: Fixed values of the model file's format: kinds of pieces, and what an unknown character costs beyond the worst piece.
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
+UNKNOWN_COST = 10.0
+INFINITE = float("inf")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The model's normaliser: a mark before the text, marks for spaces, one space for a run of them."""
+
+    prefix: bool = True
+    escape: bool = True
+    merge: bool = False
+
+    def apply(self, text: str) -> str:
+        if self.merge:
+            text = re.sub(" +", " ", text.strip(" "))
+        if not text:
+            return ""
+        out = (" " if self.prefix else "") + text
+        return out.replace(" ", MARK) if self.escape else out
 
 
 class Transducer:
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], kind: str = "bpe"):
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], kind: str = "bpe", rules: Rules = Rules(), unknown: int | None = None, user: tuple[int, ...] = ()):
         """``pieces``: text and score by id, with an empty text for ids that no text makes."""
-        self.pieces, self.byte_ids, self.kind = pieces, byte_ids, kind
-        self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
-        self.longest = max(map(len, self.ids), default=1)
+        self.pieces, self.byte_ids, self.kind, self.rules, self.unknown, self.user = pieces, byte_ids, kind, rules, unknown, user
+        self.ids = {p: i for i, (p, _) in enumerate(pieces) if p and i not in user}
+        self._user = {pieces[i][0]: i for i in user}
+        self._whole = re.compile("(" + "|".join(re.escape(p) for p in sorted(self._user, key=lambda p: (-len(p), p))) + ")") if user else None
+        self._compile()
         self._follows: dict[int, bool] = {}
         self._runs: dict[int, list[tuple[float, str, str]]] = {}
         chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
@@ -60,11 +95,50 @@ class Transducer:
             if ord(c) < 0x10000:
                 self._low[ord(c)] = i
         out = [p.replace(MARK, " ").encode() for p, _ in pieces]
+        out += [b""] * (max(byte_ids.values(), default=0) + 1 - len(out))
         for b, i in byte_ids.items():
             out[i] = bytes([b])
+        if unknown is not None:
+            out[unknown] = " ⁇ ".encode()
         self._bytes = np.frombuffer(b"".join(out), np.uint8)
         self._at = np.concatenate(([0], np.cumsum([len(x) for x in out])))
 
+    def _compile(self) -> None:
+        """The pieces' acceptor: arcs by state and character, and of each final state its piece."""
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[int] = [-1]
+        for p, i in self.ids.items():
+            state = 0
+            for c in p:
+                to = self.arcs[state].get(c)
+                if to is None:
+                    to = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                state = to
+            self.final[state] = i
+        worst = min((self.pieces[i][1] for i in self.ids.values()), default=0.0)
+        self.fallback_cost = UNKNOWN_COST - worst
+
+    def fallback(self, c: str) -> list[int]:
+        """What a character becomes that no piece has."""
+        if self.byte_ids:
+            return [self.byte_ids[b] for b in c.encode()]
+        return [] if self.unknown is None else [self.unknown]
+
+    def compose(self, s: str, start: int) -> Iterator[tuple[int, int, float]]:
+        """Arcs of the lattice that leave a place: where they lead, their piece (-2: fallback) and their cost."""
+        state, arcs, final = 0, self.arcs, self.final
+        for to in range(start, len(s)):
+            state = arcs[state].get(s[to], 0)
+            if not state:
+                break
+            p = final[state]
+            if p >= 0:
+                yield to + 1, p, -self.pieces[p][1]
+        if s[start] not in self.ids:
+            yield start + 1, -2, self.fallback_cost
+
     def _run(self, p: int) -> list[tuple[float, str, str]]:
         """The merges that make a piece: score, then the first and the last part after each."""
         got = self._runs.get(p)
@@ -113,38 +187,21 @@ class Transducer:
 
     def shortest_path(self, s: str) -> list[int]:
         """Ids of a normalised stretch."""
-        n, ids, longest = len(s), self.ids, self.longest
-        last, back = [-1] * (n + 1), [-1] * (n + 1)
-        if self.kind == "bpe":  # of the arcs into a place at most one is finite
-            back[0] = 0
-            for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    if back[j] < 0:
-                        continue
-                    p = ids.get(s[j:i])
-                    if p is None:
-                        if i - j > 1 or s[j] in ids:
-                            continue
-                        p = -2
-                    elif not (self.follows(last[j], p) if last[j] >= 0 else self.made(p)):
-                        continue
-                    last[i], back[i] = p, j
-                    break
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    p = ids.get(s[j:i])
-                    if p is None and (i - j > 1 or s[j] in ids):
-                        continue
-                    c = cost[j] + (1e6 if p is None else -self.pieces[p][1])
-                    if c < cost[i]:
-                        cost[i], last[i], back[i] = c, -2 if p is None else p, j
+        n, bpe = len(s), self.kind == "bpe"
+        cost, last, back = [0.0] + [INFINITE] * n, [-1] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            if cost[i] == INFINITE:
+                continue
+            for to, p, c in self.compose(s, i):
+                if bpe:  # of the arcs into a place at most one is finite
+                    c = 0.0 if p == -2 or (self.follows(last[i], p) if last[i] >= 0 else self.made(p)) else INFINITE
+                if cost[i] + c < cost[to]:
+                    cost[to], last[to], back[to] = cost[i] + c, p, i
         out: list[int] = []
         i = n
         while i:
             if last[i] == -2:
-                out.extend(self.byte_ids[b] for b in reversed(s[back[i] : i].encode()))
+                out.extend(reversed(self.fallback(s[back[i] : i])))
             else:
                 out.append(last[i])
             i = back[i]
@@ -158,12 +215,32 @@ class Transducer:
 
     def encode(self, texts: list[str], cache: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
-        norm = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        norm = [self.rules.apply(t) for t in texts]
+        if self._whole:
+            return self._encode_around(norm, cache)
+        return self._encode(norm, cache)
+
+    def _encode_around(self, norm: list[str], cache: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that the model's user defined are cut out first, the longest at each place."""
+        parts = [self._whole.split(t) for t in norm]
+        ids, begin = self._encode([x for p in parts for x in p[::2]], cache)
+        out, at, k = [], [0], 0
+        for p in parts:
+            for j in range(len(p)):
+                if j % 2:
+                    out.append(np.array([self._user[p[j]]], np.uint32))
+                else:
+                    out.append(ids[begin[k] : begin[k + 1]])
+                    k += 1
+            at.append(at[-1] + sum(map(len, out[len(out) - len(p) :])))
+        return np.concatenate(out) if out else ids, np.array(at, np.int64)
+
+    def _encode(self, norm: list[str], cache: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, norm), np.int64, len(norm))
         whole = "".join(norm)
         c = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         if not len(c):
-            return np.empty(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(norm) + 1, np.int64)
         code = self.codes(c)
         cut = np.ones(len(c), bool)
         cut[1:] = ~self._joined[code[:-1] * self._k + code[1:]]
@@ -185,14 +262,21 @@ class Transducer:
         flat, at = np.frombuffer(b"".join(got), np.uint32), np.concatenate(([0], np.cumsum(n_each)))
         ids = flat[np.repeat(at[:-1][inv], n_each[inv]) + spans(n_each[inv])]
         before = np.concatenate(([0], np.cumsum(n_each[inv])))
-        return ids, before[np.searchsorted(start, begin)]
+        at = before[np.searchsorted(start, begin)]
+        if self.unknown is not None and not self.byte_ids and len(ids):  # a run of unknown characters is one piece
+            keep = np.ones(len(ids), bool)
+            keep[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            keep[at[:-1][at[:-1] < len(ids)]] = True
+            ids, at = ids[keep], np.concatenate(([0], np.cumsum(keep)))[at]
+        return ids, at
 
     def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
         """UTF-8 of each text."""
         n = self._at[ids + 1] - self._at[ids]
         raw = self._bytes[np.repeat(self._at[ids], n) + spans(n)].tobytes()
         at = np.concatenate(([0], np.cumsum(n)))[begin].tolist()
-        return [raw[a + 1 : b] if b > a else b"" for a, b in zip(at, at[1:], strict=False)]
+        lead = int(self.rules.prefix)
+        return [raw[a + lead : b] if b > a else b"" for a, b in zip(at, at[1:], strict=False)]
 
 
 def _stretch_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -202,26 +286,76 @@ def _stretch_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.add.reduceat(term, start)
 
 
-def load(path: str, kind: str = "bpe") -> Transducer:
-    """From a SentencePiece model file, whose path is the caller's."""
-    import sentencepiece
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message in the model file's wire format."""
 
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = m.get_piece_size()
-    made = [not (m.IsByte(i) or m.IsControl(i) or m.IsUnknown(i) or m.IsUnused(i)) for i in range(n)]
-    pieces = [(m.IdToPiece(i) if made[i] else "", float(m.GetScore(i))) for i in range(n)]
-    return Transducer(pieces, {int(m.IdToPiece(i)[3:-1], 16): i for i in range(n) if m.IsByte(i)}, kind)
+    def varint(i: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out |= (data[i] & 0x7F) << shift
+            shift, i = shift + 7, i + 1
+            if data[i - 1] < 0x80:
+                return out, i
+
+    i = 0
+    while i < len(data):
+        tag, i = varint(i)
+        if tag & 7 == 0:
+            value, i = varint(i)
+        elif tag & 7 == 2:
+            n, i = varint(i)
+            value, i = data[i : i + n], i + n
+        else:
+            n = {1: 8, 5: 4}[tag & 7]
+            value, i = data[i : i + n], i + n
+        yield tag >> 3, value
+
+
+def compile_model(data: bytes) -> Transducer:
+    pieces, kinds, model, norm = [], [], {}, {}
+    for number, value in fields(data):
+        if number == 1:
+            piece = dict(fields(value))
+            pieces.append((piece[1].decode(), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0))
+            kinds.append(piece.get(3, NORMAL))
+        elif number == 2:
+            model = dict(fields(value))
+        elif number == 3:
+            norm = dict(fields(value))
+    if norm.get(2):
+        raise ValueError("the model's normaliser has a character map, which is not supported")
+    if model.get(24):
+        raise ValueError("marks after words are not supported")
+    if model.get(3, 1) not in (1, 2):
+        raise ValueError("only unigram and bpe models are supported")
+    byte_ids = {int(p[3:-1], 16): i for i, (p, _) in enumerate(pieces) if kinds[i] == BYTE}
+    unknown = next((i for i, k in enumerate(kinds) if k == UNKNOWN), None)
+    made = [(p if kinds[i] in (NORMAL, USER) else "", score) for i, (p, score) in enumerate(pieces)]
+    rules = Rules(bool(norm.get(3, 1)), bool(norm.get(5, 1)), bool(norm.get(4, 1)))
+    return Transducer(made, byte_ids, "unigram" if model.get(3, 1) == 1 else "bpe", rules, unknown, tuple(i for i, k in enumerate(kinds) if k == USER))
+
+
+def load(path: str) -> Transducer:
+    """From a SentencePiece model file, whose path is the caller's; the driver reads it."""
+    with open(path, "rb") as f:
+        return compile_model(f.read())
 
 
 _WORKER: dict = {}
 
 
+def _held(spark, t: Transducer):
+    """What workers compile a transducer from, and a digest that tells it from others."""
+    args = (t.pieces, t.byte_ids, t.kind, t.rules, t.unknown, t.user)
+    return spark.sparkContext.broadcast(args), hashlib.sha256(repr(args).encode()).hexdigest()
+
+
 def _worker(held) -> tuple[Transducer, dict[int, bytes]]:
-    """This worker's transducer and cache, built once for each model."""
-    key = hash((len(held.value[0]), held.value[0][-1], held.value[2]))
+    """This worker's transducer and cache, compiled once for each model."""
+    args, key = held
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = (Transducer(*held.value), {})
+        _WORKER[key] = (Transducer(*args.value), {})
     return _WORKER[key]
 
 
@@ -231,7 +365,7 @@ def _parts(rb: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, transducer: Transducer, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ids (array<int>), and decoded: the text that these ids give back."""
-    held = docs.sparkSession.sparkContext.broadcast((transducer.pieces, transducer.byte_ids, transducer.kind))
+    held = _held(docs.sparkSession, transducer)
     kinds = dict(docs.dtypes)
 
     def run(batches):
@@ -253,7 +387,7 @@ def encode(docs: DataFrame, transducer: Transducer, text_col: str = "text", keep
 
 def decode(rows: DataFrame, transducer: Transducer, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and the text of each list of ids."""
-    held = rows.sparkSession.sparkContext.broadcast((transducer.pieces, transducer.byte_ids, transducer.kind))
+    held = _held(rows.sparkSession, transducer)
     kinds = dict(rows.dtypes)
 
     def run(batches):

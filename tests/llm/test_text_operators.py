@@ -388,6 +388,60 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(df.limit(0), t).count() == 0
 
 
+def test_pieces_equal_the_library_on_documents(spark):
+    import sentencepiece
+
+    t, lib = pieces.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aeiou rstln  .,\n\t0123ÄßéЖ中文😀▁") for _ in range(rng.randrange(200))) for _ in range(150)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect()]
+    texts.append("Long text with a word " * 60_000)
+    ids, begin = t.encode(texts, {})
+    for i, x in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == lib.encode(x)
+    assert [x.decode() for x in t.decode(ids, begin)] == [x.replace("▁", " ") for x in texts]
+
+
 def test_unigram_shortest_path():
-    t = pieces.Transducer([("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abab", -5.0)], {i: 4 + i for i in range(0)}, "unigram")
+    t = pieces.Transducer([("a", -1.0), ("b", -1.0), ("ab", -1.5), ("abab", -5.0)], {}, "unigram")
     assert t.shortest_path("abab") == [2, 2]
+    rng = random.Random(5)
+    vocab = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(25)} | set("abc")
+    t = pieces.Transducer([(p, -rng.random() * 5) for p in sorted(vocab)], {b: 100 + b for b in range(256)}, "unigram")
+    score = dict(t.pieces)
+
+    def best(s):
+        if not s:
+            return 0.0
+        return min((best(s[k:]) - score[s[:k]] for k in range(1, len(s) + 1) if s[:k] in score), default=float("inf"))
+
+    for _ in range(60):
+        s = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 11)))
+        got = t.shortest_path(s)
+        assert "".join(t.pieces[i][0] for i in got) == s
+        assert sum(-t.pieces[i][1] for i in got) == pytest.approx(best(s))
+
+
+def message(*parts):
+    out = b""
+    for number, value in parts:
+        if isinstance(value, int):
+            out += bytes([number << 3 & 0x7F | (0x80 if number > 15 else 0), *([number >> 4] if number > 15 else []), value])
+        elif isinstance(value, float):
+            import struct
+
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        else:
+            out += bytes([number << 3 | 2, len(value)]) + value
+    return out
+
+
+def test_model_rules_are_compiled():
+    made = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("<sep>", 0.0, 4), ("▁", -2.0, 1), ("a", -3.0, 1), ("▁a", -1.0, 1), ("b", -3.0, 1)]
+    body = b"".join(message((1, message((1, p.encode()), (2, score), (3, kind)))) for p, score, kind in made)
+    t = pieces.compile_model(body + message((2, message((3, 1)))) + message((3, message((3, 1), (4, 1)))))
+    assert (t.kind, t.rules) == ("unigram", pieces.Rules(True, True, True))
+    ids, begin = t.encode(["  a   a ", "a<sep>b", "axyb", ""], {})
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [[5, 5], [5, 2, 6], [5, 0, 6], []]
+    with pytest.raises(ValueError):
+        pieces.compile_model(body + message((3, message((2, b"map")))))
