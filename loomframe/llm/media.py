@@ -3,15 +3,17 @@
 ``write_avi`` stores each payload as 24 x 24 grey frames, one byte a sample, in
 lossless JPEG (SOF3, predictor 1) inside a RIFF/AVI container with an ``idx1``
 index.  ``read_avi`` parses the RIFF chunks and the index, decodes every intra
-frame and detects shots by adaptive histogram differences.  ``clip_rows`` yields
+frame by the tables, size and predictor that its own header states, and detects shots by adaptive histogram differences.  ``clip_rows`` yields
 one timed row per shot.
 
 Both directions are vectorised over the frames of a batch: symbols are packed
-with prefix sums of their lengths, and all frames are decoded in step, one
-sample of each at a time.
+with prefix sums of their lengths, and all frames with one header are decoded in step, one
+sample of each at a time.  Frames of other writers are read if they are lossless JPEG of one
+8-bit component; lossy (DCT) frames and restart intervals are refused with an error.
 
 Defined cases: a null text is an empty one; an empty text still has one frame
-(all 255); ties and repeated rows give equal values; extra columns are dropped,
+(all 255); a very long text is one file, held by one task; ties (of neighbouring histogram distances) open
+a shot at each; repeated rows give equal values; extra columns are dropped,
 the id column is carried as it is, null included; an empty table gives no rows.
 """
 
@@ -174,15 +176,119 @@ def parse_riff(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return movi + index["at"].astype(np.int64) + 8, index["size"].astype(np.int64)
 
 
-def scan_places(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the entropy-coded scans of these JPEG frames lie.  Every frame must have our header."""
+def parse_frame(frame: bytes) -> tuple[bytes, int, int]:
+    """Header up to its scan, and where the entropy-coded data begin and end."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at = 2
+    while frame[at : at + 1] == b"\xff":
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        at += 2 + size
+        if marker == 0xDA:
+            end = at
+            while True:
+                end = frame.find(b"\xff", end)
+                if end < 0:
+                    return frame[:at], at, len(frame)
+                if frame[end + 1 : end + 2] not in (b"\0", b""):
+                    return frame[:at], at, end
+                end += 2
+    raise ValueError("a frame without a scan")
+
+
+class Header:
+    """Size, predictor and code table that a frame's header states."""
+
+    def __init__(self, head: bytes):
+        at, tables, chosen = 2, {}, None
+        while at < len(head):
+            marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
+            body = head[at + 4 : at + 2 + size]
+            if marker == 0xC3:
+                precision, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                if precision != 8 or n != 1:
+                    raise ValueError("only frames of one 8-bit component are read")
+            elif marker == 0xC4:
+                while body:
+                    counts, n = body[1:17], sum(body[1:17])
+                    tables[body[0]] = (counts, body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+                raise ValueError("only lossless JPEG frames are read")
+            elif marker == 0xDD and body != b"\0\0":
+                raise ValueError("restart intervals are not read")
+            elif marker == 0xDA:
+                chosen, self.predictor, self.shift = body[2] >> 4, body[3], body[5] & 15
+            at += 2 + size
+        counts, values = tables[chosen]
+        self.code = np.zeros(1 << 16, np.int64)
+        code = k = 0
+        for length in range(1, 17):
+            for _ in range(counts[length - 1]):
+                first = code << (16 - length)
+                self.code[first : first + (1 << (16 - length))] = length << 8 | values[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+
+    def decode(self, scans: list[bytes]) -> np.ndarray:
+        """uint8 [n, height * width] of these entropy-coded scans."""
+        n, many = len(scans), self.height * self.width
+        raw = [x.replace(b"\xff\0", b"\xff") + bytes(5) for x in scans]
+        start = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        b = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        window = b[:-4] << 32 | b[1:-3] << 24 | b[2:-2] << 16 | b[3:-1] << 8 | b[4:]
+        pos, diff = start[:-1] * 8, np.empty((many, n), np.int64)
+        for i in range(many):
+            w, off = window[np.minimum(pos >> 3, len(window) - 1)], pos & 7
+            got = self.code[w >> (24 - off) & 0xFFFF]
+            length, cat = got >> 8, got & 255
+            bits = np.where(cat == 16, 0, cat)
+            extra = w >> (40 - off - length - bits) & ((1 << bits) - 1)
+            diff[i] = np.where(cat == 0, 0, np.where(cat == 16, 1 << 15, np.where(extra >> np.maximum(cat - 1, 0) > 0, extra, extra - (1 << bits) + 1)))
+            pos = pos + length + bits
+        if (length == 0).any() or not ((pos + 7 >> 3) == start[1:] - 5).all():
+            raise ValueError("a scan does not end with its last sample")
+        out = np.zeros((self.height, self.width, n), np.int64)
+        diff = diff.reshape(out.shape)
+        for y in range(self.height):
+            for x in range(self.width):
+                if y == 0 or x == 0:
+                    guess = out[0, x - 1] if y == 0 and x else out[y - 1, 0] if y else 1 << (7 - self.shift)
+                else:
+                    left, up, corner = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+                    guess = (0, left, up, corner, left + up - corner, left + (up - corner >> 1), up + (left - corner >> 1), left + up >> 1)[self.predictor]
+                out[y, x] = guess + diff[y, x] & 0xFFFF
+        return (out << self.shift).astype(np.uint8).reshape(many, n).T
+
+
+def decode(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of these frames one after another, and each frame's first and the end."""
     head = np.frombuffer(HEAD, np.uint8)
-    if len(starts) and not (data[starts[:, None] + np.arange(len(head))] == head).all():
-        raise ValueError("a frame's header is not that of a 24 x 24 lossless JPEG")
-    return starts + len(head), sizes - len(head) - 2
-
-
-def shots(frames: np.ndarray, owner: np.ndarray, k: float = 1.5, radius: int = 4) -> np.ndarray:
+    if not len(starts) or ((sizes > len(head)).all() and (data[starts[:, None] + np.arange(len(head))] == head).all()):
+        frames = decode_frames(data, starts + len(head), sizes - len(head) - 2)
+        return np.ascontiguousarray(frames).reshape(-1), np.arange(len(starts) + 1) * FRAME
+    by: dict[bytes, list[int]] = {}
+    scans = []
+    for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        frame = data[a : a + n].tobytes()
+        key, begin, end = parse_frame(frame)
+        by.setdefault(key, []).append(i)
+        scans.append(frame[begin:end])
+    out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(scans)
+    for key, rows in by.items():
+        for i, x in zip(rows, Header(key).decode([scans[i] for i in rows]), strict=True):
+            out[i] = np.ascontiguousarray(x)
+    return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
+
+
+def histograms(samples: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Counts of each frame's samples in ``BINS`` equal bins."""
+    n = len(edges) - 1
+    frame = np.repeat(np.arange(n), np.diff(edges))
+    return np.bincount(frame * BINS + (samples >> 4), minlength=n * BINS).reshape(n, BINS)
+
+
+def shots(hist: np.ndarray, owner: np.ndarray, k: float = 1.5, radius: int = 4) -> np.ndarray:
     """True where a shot starts.
 
     A frame opens one if it is the first of its file, or if its histogram's L1
@@ -190,11 +296,10 @@ def shots(frames: np.ndarray, owner: np.ndarray, k: float = 1.5, radius: int = 4
     ``k`` times the mean distance within ``radius`` frames of the same file, and
     is no smaller than either neighbour's.
     """
-    n = len(frames)
+    n = len(hist)
     first = np.ones(n, bool)
     if n < 2:
         return first
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).reshape(-1), minlength=n * BINS).reshape(n, BINS)
     first[1:] = owner[1:] != owner[:-1]
     d = np.zeros(n, np.int64)
     d[1:] = np.abs(hist[1:] - hist[:-1]).sum(1)
@@ -205,7 +310,7 @@ def shots(frames: np.ndarray, owner: np.ndarray, k: float = 1.5, radius: int = 4
     total = np.concatenate(([0], np.cumsum(d)))
     count = np.maximum(hi - lo, 1)
     left, right = np.append(0, d[:-1]), np.append(d[1:], 0)
-    return first | ((d * 4 >= FRAME) & (d * count > k * (total[hi] - total[np.minimum(lo, hi)])) & (d >= left) & (d >= right))
+    return first | ((d * 4 >= hist.sum(1)) & (d * count > k * (total[hi] - total[np.minimum(lo, hi)])) & (d >= left) & (d >= right))
 
 
 def _write(id_col: str, text_col: str):
@@ -245,23 +350,22 @@ def _read(id_col: str):
                 counts = np.fromiter((len(p[0]) for p in places), np.int64, len(places))
                 owner = np.repeat(np.arange(len(files)), counts)
                 data = np.frombuffer(b"".join(files), np.uint8)
-                starts, lengths = scan_places(data, np.concatenate([p[0] for p in places]) + base[owner], np.concatenate([p[1] for p in places]))
-                frames = np.ascontiguousarray(decode_frames(data, starts, lengths))
-                cut = shots(frames, owner)
+                samples, at = decode(data, np.concatenate([p[0] for p in places]) + base[owner], np.concatenate([p[1] for p in places]))
+                cut = shots(histograms(samples, at), owner)
                 edges = np.concatenate(([0], np.cumsum(counts))).tolist()
-                payload = frames.tobytes()
+                payload = samples.tobytes()
                 rows = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "clips")}
                 for i, f in enumerate(files):
-                    own = payload[edges[i] * FRAME : edges[i + 1] * FRAME]
-                    at = np.flatnonzero(cut[edges[i] : edges[i + 1]])
-                    ends = np.append(at[1:], edges[i + 1] - edges[i])
+                    own = payload[int(at[edges[i]]) : int(at[edges[i + 1]])]
+                    opens = np.flatnonzero(cut[edges[i] : edges[i + 1]])
+                    ends = np.append(opens[1:], edges[i + 1] - edges[i])
                     rows["payload_bytes"].append(len(own))
                     rows["payload_sha256"].append(hashlib.sha256(own).hexdigest())
                     rows["tail_crc32"].append(zlib.crc32(own[-32:]))
                     rows["media_bytes"].append(len(f))
                     rows["media_sha256"].append(hashlib.sha256(f).hexdigest())
-                    rows["n_frames"].append(len(own) // FRAME)
-                    rows["clips"].append([{"first_frame": s, "n_frames": e - s} for s, e in zip(at.tolist(), ends.tolist(), strict=True)])
+                    rows["n_frames"].append(edges[i + 1] - edges[i])
+                    rows["clips"].append([{"first_frame": s, "n_frames": e - s} for s, e in zip(opens.tolist(), ends.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col).slice(a, b - a), batch.column("n_bytes").slice(a, b - a), *(pa.array(rows[k], t) for k, t in zip(rows, _KINDS, strict=True))],
                     [id_col, "n_bytes", *rows],

@@ -232,7 +232,73 @@ def test_lossless_frames_and_shots():
     data, at = media.encode_frames(x)
     assert (media.decode_frames(data, at[:-1], np.diff(at)) == x).all()
     y = np.repeat(np.array([[10], [200]], np.uint8), 576, 1)[[0] * 6 + [1] * 6]
-    assert np.flatnonzero(media.shots(y, np.zeros(12, int))).tolist() == [0, 6]
+    hist = media.histograms(y.reshape(-1), np.arange(13) * 576)
+    assert np.flatnonzero(media.shots(hist, np.zeros(12, int))).tolist() == [0, 6]
+    samples, edges = media.Header(media.HEAD).decode([data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]), at
+    assert (samples == x).all()
+
+
+def foreign_frame(pixels, predictor):
+    """A lossless JPEG of another size, predictor and code table (17 categories of 5 bits), bit by bit."""
+    import struct
+
+    h, w = pixels.shape
+    bits = ""
+    for y in range(h):
+        for x in range(w):
+            if y == 0 or x == 0:
+                guess = int(pixels[0, x - 1]) if y == 0 and x else int(pixels[y - 1, 0]) if y else 128
+            else:
+                a, b, c = int(pixels[y, x - 1]), int(pixels[y - 1, x]), int(pixels[y - 1, x - 1])
+                guess = {1: a, 2: b, 3: c, 4: a + b - c, 5: a + ((b - c) >> 1), 6: b + ((a - c) >> 1), 7: (a + b) >> 1}[predictor]
+            d = int(pixels[y, x]) - guess
+            cat = abs(d).bit_length()
+            bits += f"{cat:05b}" + (f"{d if d > 0 else d + (1 << cat) - 1:0{cat}b}" if cat else "")
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    dht = bytes([0, 0, 0, 0, 0, 17, *[0] * 11, *range(17)])
+    return b"".join((b"\xff\xd8\xff\xe0\0\4hi", b"\xff\xc4", struct.pack(">H", len(dht) + 2), dht, b"\xff\xc3", struct.pack(">HBHHB3B", 11, 8, h, w, 1, 1, 0x11, 0), b"\xff\xda", struct.pack(">HB2B3B", 8, 1, 1, 0, predictor, 0, 0), scan, b"\xff\xd9"))
+
+
+def test_frames_of_other_writers():
+    rng = np.random.default_rng(4)
+    for predictor in range(1, 8):
+        frames = [rng.integers(0, 256, (5, 7)).astype(np.uint8), np.full((5, 7), 200, np.uint8), rng.integers(100, 110, (3, 2)).astype(np.uint8)]
+        raw = [foreign_frame(f, predictor) for f in frames]
+        data, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+        samples, edges = media.decode(data, np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes)
+        assert [samples[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [f.reshape(-1).tolist() for f in frames]
+    with pytest.raises(ValueError):
+        media.Header(media.HEAD.replace(b"\xff\xc3", b"\xff\xc0"))
+
+
+def plain_shots(frames):
+    """Starts of shots of one file, frame by frame."""
+    hist = [[sum(v // 16 == b for v in f) for b in range(16)] for f in frames]
+    d = [0] + [sum(abs(x - y) for x, y in zip(p, q, strict=True)) for p, q in zip(hist, hist[1:], strict=False)] + [0]
+    out = [0]
+    for i in range(1, len(frames)):
+        near = [d[j] for j in range(max(1, i - 4), min(len(frames), i + 5))]
+        if 4 * d[i] >= len(frames[i]) and d[i] * len(near) > 1.5 * sum(near) and d[i] >= d[i - 1] and d[i] >= d[i + 1]:
+            out.append(i)
+    return out
+
+
+def test_features_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(a) * rng.randrange(1, 40) for a in ("abc", "XYZ", "  .", "éß") for _ in range(rng.randrange(60))) for _ in range(25)]
+    texts += ["long " * 250_000, "x" * 575, "y" * 577]
+    got = {r.doc_id: r for r in media.read_avi(media.write_avi(frame(spark, list(enumerate(texts))))).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        raw += b"\xff" * (-len(raw) % 576 if raw else 576)
+        frames = [raw[k : k + 576] for k in range(0, len(raw), 576)]
+        data, at = media.encode_frames(np.frombuffer(raw, np.uint8).reshape(-1, 576))
+        lens = [b - a + len(media.HEAD) + 2 for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
+        size = 12 + (12 + 64 + 12 + 64 + 48) + 12 + sum(8 + n + (n & 1) for n in lens) + 8 + 16 * len(lens)
+        assert got[i].media_bytes == size
+        if len(frames) < 400:
+            assert [c.first_frame for c in got[i].clips] == plain_shots(frames)
 
 
 def test_line_dedup(spark):
