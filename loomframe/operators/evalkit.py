@@ -26,23 +26,48 @@ def retrieval_table(rows: DataFrame, group: str, ks=(1, 3, 5)) -> DataFrame:
     return rows.filter(F.size("ranks") > 0).rollup(group).agg(*out).withColumn(group, F.coalesce(group, F.lit("overall")))
 
 
+#: Buckets of values that running sums are split into.
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, value: str, parts: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bucket``: which of about equal ranges of the values a row falls into, so that no window needs all rows in one task.
+
+    The bounds come from approximate quantiles; any bounds give the same running sums.
+    """
+    cuts = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
+    at = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value)))
+    return rows.withColumn("bucket", at)
+
+
+def running(rows: DataFrame, value: str, sums: list[str], parts: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``before_<sum>``: sums over smaller values (of the same ``parts``), from rows of distinct values with ``bucket``."""
+    per = rows.groupBy(*parts, "bucket").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    ahead = Window.partitionBy(*parts).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    per = per.select(*parts, "bucket", *(F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
+    own = Window.partitionBy(*parts, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(per, [*parts, "bucket"])
+    return out.select(*rows.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"before_{c}") for c in sums))
+
+
 def auc(rows: DataFrame, positive: str, value: str) -> DataFrame:
     """Rank form with average ranks for ties; null if either side is empty.
 
-    Ranks come from running sums over the distinct values, so only as many rows as there are values meet in one task.
+    Ranks come from running sums over the distinct values, range by range.
     """
-    per = rows.groupBy(value).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    before = F.coalesce(F.sum("q").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = per.withColumn("won", F.col("p") * (before + F.col("q") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.round(F.col("w") / (F.col("p") * F.col("q")), 6)).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
+    per = bucketed(rows.groupBy(value).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q")), value)
+    s = running(per, value, ["q"]).withColumn("won", F.col("p") * (F.col("before_q") + F.col("q") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.round(F.col("w") / (F.col("p") * F.col("q")), 6)).alias("auc"), F.coalesce("p", F.lit(0)).alias("positives"), F.coalesce("q", F.lit(0)).alias("negatives"))
 
 
 def threshold_scan(rows: DataFrame, positive: str, value: str, eps: float = 1e-6) -> DataFrame:
     """Cut points between neighbouring values, and beyond both ends: negatives below are caught, positives below are lost."""
-    per = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(~F.col(positive)).alias("neg"), F.count_if(positive).alias("pos"))
-    w = Window.orderBy("v")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.select("v", F.lead("v").over(w).alias("next"), F.sum("neg").over(upto).alias("caught"), F.sum("pos").over(upto).alias("lost"))
+    per = bucketed(rows.groupBy(F.col(value).alias("v")).agg(F.count_if(~F.col(positive)).alias("neg"), F.count_if(positive).alias("pos")), "v")
+    first = per.groupBy("bucket").agg(F.min("v").alias("low"))
+    first = first.select((F.lag("bucket").over(Window.orderBy("bucket"))).alias("bucket"), F.col("low").alias("after"))  # one row a bucket
+    run = running(per, "v", ["neg", "pos"]).join(first, "bucket", "left")
+    following = F.coalesce(F.lead("v").over(Window.partitionBy("bucket").orderBy("v")), "after")
+    cum = run.select("v", following.alias("next"), (F.col("before_neg") + F.col("neg")).alias("caught"), (F.col("before_pos") + F.col("pos")).alias("lost"))
     inner = cum.select(F.coalesce((F.col("v") + F.col("next")) / 2, F.col("v") + eps).alias("t"), "caught", "lost")
     low = per.agg((F.min("v") - eps).alias("t"), F.lit(0).cast("long").alias("caught"), F.lit(0).cast("long").alias("lost"))
     return low.unionByName(inner)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import table
 from ..functions import canon, text
 from ..functions.canon import canon_sql
-from ..operators import chunking, lint
+from ..operators import chunking, lint, passages
 from ..sources import read
 
 MARKDOWN = table(
@@ -21,6 +21,10 @@ OUTLINE = table("source string, n int, bian string, zhang string, jie string", (
 PATHS = table("id int, chapter string, document string", (1, "民法典 > 第一编 > 第一章", "正文"), (2, "民法典", "正文"), (3, None, "正文"), (4, "甲 > 乙", "x"), (5, "", "y"))
 
 
+#: Fixed value: a line that begins a numbered text.
+ARTICLE_LINE = r"(?m)^第[一二三四五六七八九十百千万零0-9]+条"
+
+
 def chunk_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(MARKDOWN.df(spark))
 
@@ -80,15 +84,26 @@ EMIT_OUTLINE = f"""WITH o AS {OUTLINE.sql()}, d AS (SELECT *, bian IS DISTINCT F
 SELECT source, n, 1 AS level, bian AS title FROM d WHERE c1 AND bian IS NOT NULL UNION ALL SELECT source, n, 2, zhang FROM d WHERE (c1 OR c2) AND zhang IS NOT NULL UNION ALL SELECT source, n, 3, jie FROM d WHERE (c1 OR c2 OR c3) AND jie IS NOT NULL"""
 
 
+#: Documents whose hashes are put together in one row.
+RUN = 1000
+
+
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: documents, bytes, lines, and a hash of its documents' hashes in id order."""
+    """Per source: documents, bytes, lines, lines that begin with a number, and a hash.
+
+    The hash is of the hashes of runs of ids, each of its documents' hashes in id order, so a large source is never in one row.
+    """
     d = read(spark, sf_dir, "documents")
-    per = d.select("source", "doc_id", F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n")).alias("lines"), F.sha1(F.col("text").cast("binary")).alias("h"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "")
-    return per.groupBy("source").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("lines").alias("lines"), F.sha1(ordered.cast("binary")).alias("hash"))
+    numbered = F.regexp_count("text", F.lit(ARTICLE_LINE))
+    per = d.select("source", "doc_id", F.floor(F.col("doc_id") / RUN).alias("run"), F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n")).alias("lines"), numbered.alias("articles"), F.sha1(F.col("text").cast("binary")).alias("h"))
+    sums = [F.sum(c).alias(c) for c in ("bytes", "lines", "articles")]
+    joined = lambda k: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda x: x["h"]), "").cast("binary"))
+    runs = per.groupBy("source", "run").agg(F.count("*").alias("documents"), *sums, joined("doc_id").alias("h"))
+    return runs.groupBy("source").agg(F.sum("documents").alias("documents"), *sums, joined("run").alias("hash"))
 
 
-CORPUS_MANIFEST = "SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sha1(string_agg(sha1(text), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY source"
+CORPUS_MANIFEST = f"""WITH r AS (SELECT source, doc_id // {RUN} AS run, count(*) AS documents, sum(strlen(text)) AS bytes, sum(len(string_split(text, chr(10)))) AS lines, sum(len(regexp_extract_all(text, '{ARTICLE_LINE}'))) AS articles, sha1(string_agg(sha1(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)
+SELECT source, sum(documents)::BIGINT AS documents, sum(bytes)::BIGINT AS bytes, sum(lines)::BIGINT AS lines, sum(articles)::BIGINT AS articles, sha1(string_agg(h, '' ORDER BY run)) AS hash FROM r GROUP BY source"""
 
 
 def lint_dup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,23 +193,14 @@ STRIP_HTML = rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_H
 
 
 def stale_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages and how many documents hold them verbatim, white space aside.
-
-    A passage's first 32 characters are its key, joined to all such stretches of the documents, so only texts that share one are compared.
-    """
-    b = read(spark, sf_dir, "benchmark").select("item_id", text.strip_ws(F.col("text")).alias("p")).filter(F.char_length("p") >= 32)
-    keys = b.select("item_id", F.xxhash64(F.substring("p", 1, 32)).alias("k"))
-    d = read(spark, sf_dir, "documents").select("doc_id", text.strip_ws(F.col("text")).alias("t"))
-    chars = d.select("doc_id", F.split("t", "").alias("c"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("c") - 31, F.lit(1))))
-    grams = chars.select("doc_id", "c", at.alias("i")).select("doc_id", F.xxhash64(F.array_join(F.slice("c", F.col("i"), F.lit(32)), "")).alias("k"))
-    maybe = grams.join(keys, "k").select("doc_id", "item_id").distinct()
-    hits = maybe.join(d, "doc_id").join(b, "item_id").filter(F.contains("t", F.col("p"))).select("item_id", "doc_id")
-    return b.select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"))
+    """Benchmark passages and how many documents hold them verbatim, white space aside."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = passages.holders(read(spark, sf_dir, "documents"), b, "doc_id", "text", "item_id", "text")
+    return b.select("item_id").join(hits, F.col("item_id") == F.col("item"), "left").groupBy("item_id").agg(F.count("doc").alias("documents"))
 
 
 STALE_GROUND_TRUTH = f"""WITH b AS (SELECT item_id, regexp_replace(text, '{text.WS}', '', 'g') AS p FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '{text.WS}', '', 'g') AS t FROM documents)
-SELECT item_id, count(doc_id) AS documents FROM (SELECT * FROM b WHERE length(p) >= 32) b LEFT JOIN d ON contains(t, p) GROUP BY item_id"""
+SELECT item_id, count(doc_id) AS documents FROM b LEFT JOIN d ON contains(t, p) GROUP BY item_id"""
 
 QUERIES = {
     f.__name__: f

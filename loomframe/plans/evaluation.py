@@ -200,10 +200,9 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A row's place in its type comes from counts per value, so a type's rows never meet in one task.
     """
-    per = read(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy("event_type"))
-    per = per.select("event_type", "value", upto.alias("upto"), n.alias("n"))
+    per = evalkit.bucketed(read(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c")), "value")
+    n = per.groupBy("event_type").agg(F.sum("c").alias("n"))
+    per = evalkit.running(per, "value", ["c"], ("event_type",)).join(n, "event_type").select("event_type", "value", (F.col("before_c") + F.col("c")).alias("upto"), "n")
     pick = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value")))
     return per.groupBy("event_type").agg(F.max("n").alias("n"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), F.max("value").alias("most"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table
-from ..functions import lexer, text
+from ..functions import codes, lexer, text
 from ..sources import read
 
 NUMBERS = table(
@@ -128,7 +129,17 @@ CONTENT_HASH = "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text
 
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct character pairs of each kind every document has."""
-    return read(spark, sf_dir, "documents").select("doc_id", *(F.size(text.char_pairs(F.col("text"), p)).cast("long").alias(n) for n, p in _KINDS))
+    tables = [codes.members(p) for _, p in _KINDS]
+
+    def run(batches):
+        for rb in batches:
+            c, edges = codes.code_points(rb.column("text"))
+            for a, b in codes.stretches(edges):
+                counts = [codes.distinct_pairs(*codes.without(c[edges[a] : edges[b]], edges[a : b + 1] - edges[a], t)) for t in tables]
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(a, b - a), *(pa.array(n.astype("int64")) for n in counts)], ["doc_id", *(n for n, _ in _KINDS)])
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n, _ in _KINDS)]))
 
 
 def strip_sql(expr: str, leave_out: str) -> str:

@@ -128,6 +128,52 @@ RETRIEVE_RERANK = f"""WITH {_PINS}, h AS (SELECT query_id, row_number() OVER w A
 SELECT query_id, row_number() OVER o AS rank, vec_id, round(cos, 6) AS model FROM h WINDOW o AS (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN 0 ELSE cos END DESC, r) QUALIFY row_number() OVER o <= 5"""
 
 
+def corpus_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a kind and a document: every 7th is a heading, and a vector's document is the text of its id (blank for every 11th)."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 11 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("document"))
+    kind = F.when(F.col("ord") % 7 == 0, "heading").otherwise("article")
+    return items(spark, sf_dir).withColumn("kind", kind).join(d, "ord", "left")
+
+
+def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid results without headings, and of the five those whose document is not blank."""
+    x = corpus_items(spark, sf_dir)
+    return topk.non_empty(topk.hybrid(questions(spark, sf_dir, 1), x, K), x, K).select("query_id", "rank", F.col("ord").alias("vec_id"))
+
+
+_KINDED = """x AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, 's' || label AS source, CASE WHEN d.doc_id % 11 = 0 THEN ' ' ELSE d.text END AS document FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 7 <> 0)"""
+RETRIEVE_FILTERED = f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, 's' || label AS own, vec_id + 1 AS number FROM embeddings WHERE vec_id % 20 = 0), {_KINDED},
+s AS (SELECT query_id, vec_id, document, round(round(coalesce(list_cosine_similarity(v, qv), 0), 9) + CASE WHEN source = own THEN 0.03 ELSE 0 END, 9) AS score, vec_id = number AND source = own AS exact FROM q, x),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5)
+SELECT query_id, rank, vec_id FROM r WHERE trim(coalesce(document, '')) <> ''"""
+
+
+def retrieve_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path: a pool of 20 without headings and blanks, reranked by the plain cosine behind the pinned, cut to five, named sources covered."""
+    q, x = questions(spark, sf_dir, 2), corpus_items(spark, sf_dir)
+    pool = topk.non_empty(topk.hybrid(q, x, 20), x, 20)
+    model = pool.select("query_id", "ord").join(x.select("ord", "embedding"), "ord").join(q.select("query_id", "qv"), "query_id")
+    model = model.select("query_id", "ord", F.round(topk.cosine(F.col("qv"), F.col("embedding")), 9).alias("model"))
+    merged = topk.reranked(pool, model, K)
+    rows = merged.filter(F.col("rank") <= K).withColumn("part", F.lit("result")).unionByName(merged.withColumn("part", F.lit("pool"))).select("query_id", "part", F.col("rank").alias("place"), "ord", "exact")
+    here = merged.join(x.select("ord", "source"), "ord").select("query_id", "source").distinct()
+    present = q.select("query_id", F.explode("names").alias("name")).join(here, "query_id").filter(F.contains("source", F.col("name"))).groupBy("query_id").agg(F.collect_set("name").alias("present"))
+    rows = rows.join(x.select("ord", "source"), "ord").join(q.select("query_id", "names"), "query_id").join(present, "query_id", "left").withColumn("present", F.coalesce("present", F.array().cast("array<string>")))
+    return folds.coverage(rows).withColumnRenamed("ord", "vec_id")
+
+
+RETRIEVE_COVERED = f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, 's' || label AS n1, 's' || (label + 1) % 10 AS n2, vec_id + 1 AS number, vec_id % 40 = 0 AS paired FROM embeddings WHERE vec_id % 20 = 0), {_KINDED},
+c AS (SELECT query_id, vec_id, document, source, n1, n2, round(coalesce(list_cosine_similarity(v, qv), 0), 9) AS cos, vec_id = number AND CASE WHEN paired THEN source = n1 ELSE source IN (n1, n2) END AS exact FROM q, x),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, round(cos + CASE WHEN source IN (n1, n2) THEN 0.03 ELSE 0 END, 9) DESC, vec_id) AS first FROM c QUALIFY first <= 20),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN first END, cos DESC, first) AS rank FROM s WHERE trim(coalesce(document, '')) <> ''),
+top AS (SELECT * FROM m WHERE rank <= 5), sized AS (SELECT query_id, count(*) AS n FROM top GROUP BY query_id),
+lack AS (SELECT DISTINCT m.query_id, m.source AS n FROM m JOIN sized USING (query_id) WHERE m.source IN (m.n1, m.n2) AND sized.n >= 2 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = m.query_id AND t.source = m.source)
+  AND EXISTS (SELECT 1 FROM m a WHERE a.query_id = m.query_id AND a.source = m.n1) AND EXISTS (SELECT 1 FROM m a WHERE a.query_id = m.query_id AND a.source = m.n2)),
+cand AS (SELECT l.query_id, l.n, arg_min(m.vec_id, m.rank) AS vec_id, min(m.rank) AS rank FROM lack l JOIN m ON m.query_id = l.query_id AND m.source = l.n GROUP BY ALL),
+slot AS (SELECT c.query_id, c.vec_id, max(t.rank) AS rank FROM cand c JOIN sized z ON z.query_id = c.query_id AND c.rank - 1 <= z.n JOIN (SELECT *, count(*) OVER (PARTITION BY query_id, source) AS same FROM top) t ON t.query_id = c.query_id AND NOT t.exact AND t.same > 1 GROUP BY ALL)
+SELECT t.query_id, t.rank::INTEGER AS rank, coalesce(sl.vec_id, t.vec_id) AS vec_id FROM top t LEFT JOIN slot sl ON sl.query_id = t.query_id AND sl.rank = t.rank"""
+
+
 def dim_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose length is not the most common one."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dim"))
@@ -192,6 +238,6 @@ LOOKUP_BY_NUMBER = "SELECT c_custkey AS number, c_nationkey, count(*) AS n, min(
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, topk_in_source, pinned_lookup, hybrid_topk, source_coverage, merge_rewrites, rerank_pinned, retrieve_rerank, dim_violations, cache_lookup, cache_prune, cache_evict_lru, incremental_upsert, lookup_by_number)
+    for f in (vector_topk, topk_in_source, pinned_lookup, hybrid_topk, source_coverage, merge_rewrites, rerank_pinned, retrieve_rerank, retrieve_filtered, retrieve_covered, dim_violations, cache_lookup, cache_prune, cache_evict_lru, incremental_upsert, lookup_by_number)
 }
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}
