@@ -21,13 +21,6 @@ VERDICTS = table(
     (9, '{"answerable": true, "requirements": [{"law": "民法典"}]}'), (10, '{"answerable": tru'), (11, "[1]"), (12, '{"answerable": true, "requirements": [{"law": "民法典", "articleNo": "20"}, {"law": "民法典", "articleNo": 20}, {"law": "刑法", "articleNo": "民法典第181条"}]}'),
     (13, '{"answerable": true, "requirements": [1, 2, 3, 4, 5, 6, 7]}'), (14, '{"answerable": false, "requirements": [{"law": "民法典", "articleNo": 3}], "reason": "x"}'), (15, None),
 )
-#: What each raw verdict must come to: (id, error, answerable, requirements, reason, missing).
-EXPECTED = table(
-    "id int, error string, answerable boolean, requirements string, reason string, missing string",
-    (1, None, True, "民法典#577", "ok", None), (2, None, False, "", "缺少公司法", "公司法第二十三条"), (3, None, True, "公司法#23", "", None), (4, "answerable is no boolean", None, None, None, None), (5, "no object", None, None, None, None),
-    (6, "empty", None, None, None, None), (7, "nothing named", None, None, None, None), (8, "requirements is no list", None, None, None, None), (9, "bad requirement", None, None, None, None), (10, "not json", None, None, None, None),
-    (11, "no object", None, None, None, None), (12, None, True, "民法典#20,刑法#181", "", None), (13, "too many requirements", None, None, None, None), (14, None, False, "民法典#3", "x", None), (15, "empty", None, None, None, None),
-)
 RETRIEVED = table(
     "id int, rank int, source string, number int, document string",
     (1, 0, "民法典.md", 576, "第五百七十六条 一方不履行"), (1, 1, "民法典.md", 577, "第五百七十七条 当事人一方不履行 合同义务的，应当承担违约责任"), (2, 0, "民法典.md", 577, "第五百七十七条"), (3, 0, "公司法.md", 24, "第二十四条"),
@@ -88,7 +81,34 @@ def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark).select("id", "error", "answerable", named.alias("requirements"), "reason", "missing")
 
 
-PARSE_VERDICT = f"SELECT * FROM {EXPECTED.sql()}"
+_TRIM = f"'^{text.WS}+|{text.WS}+$', '', 'g'"
+_NAME = "regexp_replace(regexp_replace(replace({c}, '中华人民共和国', ''), '[《》\\s]', '', 'g'), '\\.md$', '', 'i')"
+
+
+def _field(x: str, name: str) -> str:
+    return f"CASE WHEN json_type({x}, '$.{name}') = 'VARCHAR' THEN nullif(regexp_replace(json_extract_string({x}, '$.{name}'), {_TRIM}), '') END"
+
+
+_VERDICTS = f"""raw AS (SELECT id, regexp_replace(coalesce(raw, ''), {_TRIM}) AS t FROM {VERDICTS.sql()}),
+fence AS (SELECT *, regexp_extract(t, '^```(?:json)?\\s*\\n?([\\s\\S]*?)\\n?```$', 1) AS f, regexp_extract(t, '(?s)\\{{.*\\}}') AS braces FROM raw),
+body AS (SELECT id, t, CASE WHEN f <> '' THEN regexp_replace(f, {_TRIM}) WHEN starts_with(t, '{{') THEN t ELSE nullif(braces, '') END AS b FROM fence),
+j AS MATERIALIZED (SELECT *, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM body),
+k AS MATERIALIZED (SELECT *, json_type(j) AS kind, json_type(j, '$.answerable') AS flag, json_type(j, '$.requirements') AS list FROM j),
+item AS MATERIALIZED (SELECT row_number() OVER () AS rid, id, i, x, one, {_field('x', 'law')} AS source, {_field('x', 'quote')} AS quote, json_type(x, '$.articleNo') AS nk, json_extract_string(x, '$.articleNo') AS ns FROM (
+  SELECT id, unnest(json_extract(j, '$.requirements[*]')) AS x, generate_subscripts(json_extract(j, '$.requirements[*]'), 1) AS i, false AS one FROM k WHERE list = 'ARRAY' UNION ALL SELECT id, j, 1, true FROM k WHERE kind = 'OBJECT' AND list IS NULL)),
+hit AS MATERIALIZED (SELECT row_number() OVER () AS hid, rid, raw, ref FROM (SELECT rid, regexp_replace(ns, {_TRIM}) AS raw, false AS ref FROM item WHERE nk = 'VARCHAR' UNION ALL SELECT rid, unnest(regexp_extract_all(ns, '{text.REFERENCE}')), true FROM item WHERE nk = 'VARCHAR')),
+{_fold_sql('hit', 'hid', 'raw')},
+spelled AS (SELECT rid, max(CASE WHEN NOT ref AND value > 0 THEN value END) AS n, CASE WHEN count(DISTINCT CASE WHEN ref AND value > 0 THEN value END) = 1 THEN max(CASE WHEN ref AND value > 0 THEN value END) END AS only FROM hit JOIN folded USING (hid) GROUP BY rid),
+r AS MATERIALIZED (SELECT item.*, coalesce(CASE WHEN nk IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND ns::DOUBLE = floor(ns::DOUBLE) AND ns::DOUBLE > 0 THEN ns::DOUBLE::BIGINT END, s.n, s.only) AS number FROM item LEFT JOIN spelled s USING (rid)),
+held AS (SELECT * FROM r WHERE NOT one OR (source IS NOT NULL AND number IS NOT NULL)),
+tally AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE source IS NULL OR number IS NULL) AS bad FROM held GROUP BY id),
+v AS MATERIALIZED (SELECT k.id, CASE WHEN t = '' THEN 'empty' WHEN b IS NULL THEN 'no object' WHEN j IS NULL THEN 'not json' WHEN kind <> 'OBJECT' THEN 'not an object' WHEN flag IS DISTINCT FROM 'BOOLEAN' THEN 'answerable is no boolean'
+  WHEN list IS NOT NULL AND list <> 'ARRAY' THEN 'requirements is no list' WHEN list = 'ARRAY' AND coalesce(n, 0) > {verdicts.MOST} THEN 'too many requirements' WHEN bad > 0 THEN 'bad requirement' WHEN json_extract_string(j, '$.answerable') = 'true' AND coalesce(n, 0) = 0 THEN 'nothing named' END AS error,
+  json_extract_string(j, '$.answerable') = 'true' AS answerable, coalesce({_field('j', 'reason')}, '') AS reason, {_field('j', 'missing')} AS missing FROM k LEFT JOIN tally USING (id)),
+req AS MATERIALIZED (SELECT h.id, row_number() OVER (PARTITION BY h.id ORDER BY h.i) - 1 AS i, h.source, h.number, h.quote FROM (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY id, source, number ORDER BY i) = 1) h JOIN v ON v.id = h.id AND v.error IS NULL)"""
+PARSE_VERDICT = f"""WITH RECURSIVE {_VERDICTS}
+SELECT id, error, CASE WHEN error IS NULL THEN answerable END AS answerable, CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(source || '#' || number, ',' ORDER BY i) FROM req WHERE req.id = v.id), '') END AS requirements,
+  CASE WHEN error IS NULL THEN reason END AS reason, CASE WHEN error IS NULL THEN missing END AS missing FROM v"""
 
 
 def cross_check_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +116,19 @@ def cross_check_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "binding", F.array_join(F.transform("matched", lambda x: x.cast("string")), ",").alias("matched"), F.array_join("unmatched", ",").alias("unmatched"), "quotes_found", "named_anyway")
 
 
-CROSS_CHECK_VERDICT = """SELECT * FROM (VALUES (1, 'in_context', '1', '', true, false), (2, 'not_applicable', '', '', NULL, false), (3, 'not_in_context', '-1', '公司法#23', NULL, false),
-(12, 'not_in_context', '0,-1', '刑法#181', NULL, false), (14, 'not_applicable', '', '', NULL, true)) t(id, binding, matched, unmatched, quotes_found, named_anyway)"""
+def _bare(c: str) -> str:
+    return _NAME.replace("{c}", c)
+
+
+_BOUND = f"""{_VERDICTS},
+got AS MATERIALIZED (SELECT id, rank, {_bare('source')} AS have, number, regexp_replace(document, '{text.WS}', '', 'g') AS doc FROM {RETRIEVED.sql()}),
+named AS (SELECT id, i, source AS want, {_bare('source')} AS w, number, regexp_replace(quote, '{text.WS}', '', 'g') AS quote FROM req),
+met AS (SELECT n.*, g.rank, g.doc FROM named n LEFT JOIN got g ON g.id = n.id AND g.number = n.number AND n.w <> '' AND g.have <> '' AND (contains(n.w, g.have) OR contains(g.have, n.w)) QUALIFY row_number() OVER (PARTITION BY n.id, n.i ORDER BY g.rank) = 1),
+per AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE rank IS NULL) AS misses, string_agg(coalesce(rank, -1)::VARCHAR, ',' ORDER BY i) AS matched, string_agg(want || '#' || number, ',' ORDER BY i) FILTER (WHERE rank IS NULL) AS unmatched,
+  bool_and(coalesce(contains(doc, quote), false)) FILTER (WHERE length(quote) >= {verdicts.QUOTE_FROM}) AS quotes FROM met GROUP BY id),
+bound AS MATERIALIZED (SELECT v.id, v.answerable, v.reason, v.missing, CASE WHEN NOT answerable THEN 'not_applicable' WHEN misses > 0 THEN 'not_in_context' ELSE 'in_context' END AS binding, CASE WHEN answerable THEN matched ELSE '' END AS matched,
+  CASE WHEN answerable THEN coalesce(unmatched, '') ELSE '' END AS unmatched, CASE WHEN answerable AND misses = 0 THEN quotes END AS quotes_found, NOT answerable AND coalesce(n, 0) > 0 AS named_anyway FROM v LEFT JOIN per USING (id) WHERE error IS NULL)"""
+CROSS_CHECK_VERDICT = f"WITH RECURSIVE {_BOUND} SELECT id, binding, matched, unmatched, quotes_found, named_anyway FROM bound"
 
 
 def second_pass_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +137,11 @@ def second_pass_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("id", F.array_join("planned", ",").alias("planned"))
 
 
-SECOND_PASS_PLAN = "SELECT * FROM (VALUES (1, ''), (2, '公司法'), (3, '公司法'), (12, ''), (14, '')) t(id, planned)"
+SECOND_PASS_PLAN = f"""WITH RECURSIVE {_BOUND}, corpus(law, o) AS (VALUES ('民法典', 0), ('公司法', 1)),
+want AS (SELECT b.id, {_bare('m.source')} AS law, m.i AS o FROM bound b JOIN (SELECT req.*, met.rank FROM req JOIN met USING (id, i)) m ON m.id = b.id AND m.rank IS NULL WHERE b.binding = 'not_in_context'
+  UNION ALL SELECT b.id, c.law, 100 + c.o FROM bound b JOIN corpus c ON contains(concat_ws(' ', coalesce(b.missing, ''), b.reason), c.law) WHERE NOT b.answerable AND NOT EXISTS (SELECT 1 FROM got WHERE got.id = b.id AND got.have = c.law)),
+plan AS (SELECT id, law, min(o) AS o FROM want WHERE law IN (SELECT law FROM corpus) GROUP BY id, law), kept AS (SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 2)
+SELECT b.id, coalesce((SELECT string_agg(law, ',' ORDER BY o) FROM kept p WHERE p.id = b.id), '') AS planned FROM bound b"""
 
 
 def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:

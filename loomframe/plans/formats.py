@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
-from ..functions.text import fingerprint, norm_source, trim_ws
+from ..functions.text import WS, fingerprint, norm_source, trim_ws
 from ..operators.verdicts import json_body
 from ..sources import read
 
@@ -15,6 +15,7 @@ REWRITES = table(
     "id int, raw string",
     (1, '{"queries": [{"law": "民法典", "query": "违约责任怎么承担"}, {"law": "《公司法》", "query": "股东查阅权的范围"}]}'), (2, "not json"), (3, '{"queries": [{"law": "刑法", "query": "正当防卫的条件"}, {"law": "民法典", "query": "短"}]}'),
     (4, '{"queries": [{"law": "民法典", "query": "问题一一一"}, {"law": "民法典", "query": "问题一一一"}, {"law": "民法典", "query": "问题二二二"}, {"law": "民法典", "query": "问题三三三"}]}'), (5, None),
+    (6, '```json\n{"queries": [{"law": "民法典", "query": "围栏里的不算"}]}\n```'), (7, 'x {"queries": [{"law": "民法典", "query": "前面有字不算"}]}'), (8, '{"queries": [1, {"law": 3, "query": "四个字符"}, {"law": "公司法 .md", "query": "  四个字符  "}, {"law": "公司法"}]}'), (9, '{"queries": {"law": "民法典"}}'), (10, "[]"),
 )
 ALLOWED = ("民法典", "公司法")
 CLAIMS = table(
@@ -62,16 +63,27 @@ PARSE_CONTEXT = f"SELECT id, (rank - 1)::INTEGER AS pos, source, article_no, doc
 
 
 def parse_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewritten queries of allowed sources: 4 to 80 characters, at most two a source and four in all, each once."""
-    d = REWRITES.df(spark).withColumn("v", F.from_json(json_body(F.coalesce("raw", F.lit(""))), "queries array<struct<law:string,query:string>>"))
-    q = d.select("id", F.posexplode("v.queries").alias("i", "q")).select("id", "i", norm_source(F.col("q.law")).alias("law"), trim_ws(F.col("q.query")).alias("query"))
+    """Rewritten queries of allowed sources: 4 to 80 characters, at most two a source and four in all, each once.
+
+    The reply must be JSON as it is: a fence or words around it make it unusable.
+    """
+    d = REWRITES.df(spark).withColumn("v", F.try_parse_json("raw"))
+    q = d.select("id", F.posexplode(F.try_variant_get("v", "$.queries", "array<variant>")).alias("i", "q"))
+    said = lambda path: F.when(F.schema_of_variant(F.try_variant_get("q", path, "variant")) == "STRING", F.try_variant_get("q", path, "string"))
+    q = q.select("id", "i", norm_source(said("$.law")).alias("law"), trim_ws(said("$.query")).alias("query"))
     q = q.filter(F.col("law").isin(*ALLOWED) & F.char_length("query").between(4, 80))
     once = F.row_number().over(Window.partitionBy("id", "law", "query").orderBy("i"))
     q = q.withColumn("once", once).filter("once = 1").withColumn("per", F.row_number().over(Window.partitionBy("id", "law").orderBy("i"))).filter("per <= 2")
     return q.withColumn("all", F.row_number().over(Window.partitionBy("id").orderBy("i"))).filter("all <= 4").select("id", F.col("all").alias("n"), "law", "query")
 
 
-PARSE_REWRITES = """SELECT * FROM (VALUES (1, 1, '民法典', '违约责任怎么承担'), (1, 2, '公司法', '股东查阅权的范围'), (4, 1, '民法典', '问题一一一'), (4, 2, '民法典', '问题二二二')) t(id, n, law, query)"""
+_TRIM = f"'^{WS}+|{WS}+$', '', 'g'"
+PARSE_REWRITES = f"""WITH j AS MATERIALIZED (SELECT id, raw::JSON AS j FROM {REWRITES.sql()} WHERE json_valid(raw)),
+q AS (SELECT id, unnest(json_extract(j, '$.queries[*]')) AS q, generate_subscripts(json_extract(j, '$.queries[*]'), 1) AS i FROM j WHERE json_type(j, '$.queries') = 'ARRAY'),
+p AS (SELECT id, i, regexp_replace(regexp_replace(regexp_replace(json_extract_string(q, '$.law'), '中华人民共和国|[《》]|{WS}', '', 'g'), '\\.md$', '', 'i'), {_TRIM}) AS law, regexp_replace(json_extract_string(q, '$.query'), {_TRIM}) AS query FROM q WHERE json_type(q, '$.law') = 'VARCHAR' AND json_type(q, '$.query') = 'VARCHAR'),
+a AS (SELECT * FROM p WHERE law IN ('民法典', '公司法') AND length(query) BETWEEN 4 AND 80 QUALIFY row_number() OVER (PARTITION BY id, law, query ORDER BY i) = 1),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id, law ORDER BY i) <= 2)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS n, law, query FROM b QUALIFY n <= 4"""
 
 
 def parse_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +95,11 @@ def parse_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", error.alias("error"), F.when(error.isNull(), F.size(kept)).alias("n"), F.when(error.isNull(), F.size(F.filter(kept, lambda x: x["verdict"] == "supported"))).alias("supported"))
 
 
-PARSE_CLAIMS = "SELECT * FROM (VALUES (1, NULL, 2, 1), (2, NULL, 0, 0), (3, 'no claims', NULL, NULL), (4, 'not json', NULL, NULL), (5, NULL, 0, 0)) t(id, error, n, supported)"
+PARSE_CLAIMS = f"""WITH t AS (SELECT id, regexp_replace(coalesce(raw, ''), {_TRIM}) AS t FROM {CLAIMS.sql()}), f AS (SELECT *, regexp_extract(t, '^```(?:json)?\\s*\\n?([\\s\\S]*?)\\n?```$', 1) AS f FROM t),
+b AS (SELECT id, CASE WHEN f <> '' THEN regexp_replace(f, {_TRIM}) WHEN starts_with(t, '{{') THEN t ELSE nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '') END AS b FROM f),
+j AS MATERIALIZED (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM b), e AS (SELECT *, CASE WHEN j IS NULL THEN 'not json' WHEN json_type(j, '$.claims') IS DISTINCT FROM 'ARRAY' THEN 'no claims' END AS error FROM j),
+c AS (SELECT id, unnest(json_extract(j, '$.claims[*]')) AS c FROM e WHERE error IS NULL), k AS (SELECT id, json_extract_string(c, '$.verdict') AS verdict FROM c WHERE json_type(c, '$.text') = 'VARCHAR' AND json_extract_string(c, '$.verdict') IN ('supported', 'unsupported'))
+SELECT e.id, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM k WHERE k.id = e.id)::INTEGER END AS n, CASE WHEN error IS NULL THEN (SELECT count(*) FROM k WHERE k.id = e.id AND verdict = 'supported')::INTEGER END AS supported FROM e"""
 
 
 def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +120,10 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", "pos", name.alias("event"), data.alias("data")).filter((F.col("data") != "") & F.try_parse_json("data").isNotNull())
 
 
-SSE_PARSE = """SELECT * FROM (VALUES (1, 0, 'meta', '{"a": 1}'), (1, 1, 'token', '{"t": "he"}'), (1, 2, 'token', '{"t": "llo"}'), (1, 3, 'done', '{}'), (2, 0, 'error', '{"m": 2}')) t(id, pos, event, data)"""
+SSE_PARSE = f"""WITH f AS (SELECT id, unnest(string_split(raw, chr(10) || chr(10))) AS frame, generate_subscripts(string_split(raw, chr(10) || chr(10)), 1) - 1 AS pos FROM {STREAM.sql()}),
+l AS (SELECT id, pos, unnest(string_split(frame, chr(10))) AS line, generate_subscripts(string_split(frame, chr(10)), 1) AS i FROM f),
+g AS (SELECT id, pos, coalesce(arg_max(regexp_replace(substr(line, 7), '^ ', ''), i) FILTER (WHERE starts_with(line, 'event:')), 'message') AS event, coalesce(string_agg(regexp_replace(substr(line, 6), '^ ', ''), '' ORDER BY i) FILTER (WHERE starts_with(line, 'data:')), '') AS data FROM l GROUP BY id, pos)
+SELECT id, pos::INTEGER AS pos, event, data FROM g WHERE data <> '' AND json_valid(data)"""
 
 
 def assemble_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,15 @@ OPS_METRICS = "SELECT count(*) AS events, count(DISTINCT user_id) AS users, coun
 def fallback_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic unit vectors of the documents, for when no model can be asked."""
     v = providers.fallback(read(spark, sf_dir, "documents"), "doc_id", "text", 8)
-    return v.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    return v.select("doc_id", F.size("embedding").alias("dim"), *(F.round(F.col("embedding")[i], 4).alias(f"v{i}") for i in range(8)))
 
 
-FALLBACK_EMBEDDING = "SELECT doc_id, 8 AS dim, 1.0::DOUBLE AS norm FROM documents"
+_RAW = ", ".join(f"sin({i} + h) * 10000 - floor(sin({i} + h) * 10000) AS x{i}" for i in range(8))
+_NORM = "greatest(sqrt(" + " + ".join(f"x{i} * x{i}" for i in range(8)) + "), 1e-12)"
+FALLBACK_EMBEDDING = f"""WITH c AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ''), lambda x: unicode(x)::BIGINT) AS c FROM documents),
+h AS (SELECT doc_id, coalesce(list_reduce(list_prepend(0::BIGINT, list_filter(c, lambda x: x > 0)), lambda h, x: (h * 31 + x + 2147483648 + 31 * 4294967296) % 4294967296 - 2147483648), 0)::DOUBLE AS h FROM c),
+x AS (SELECT doc_id, {_RAW} FROM h)
+SELECT doc_id, 8 AS dim, {", ".join(f"round(x{i} / {_NORM}, 4) AS v{i}" for i in range(8))} FROM x"""
 
 
 def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
