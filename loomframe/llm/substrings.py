@@ -1,25 +1,32 @@
-"""Substring dedup by exact windows behind a filter of winnowed anchors.
+"""Substring dedup by seed and extend on winnowed anchors.
 
 Seeds.  Of any ``WINDOW`` = 13 consecutive words the smallest hash among its seven
-7-word grams is an anchor (winnowing), so equal windows share their anchor.  A
-first shuffle finds the anchors that stand in two documents or more.
+7-word grams is its anchor (winnowing), so equal windows share their anchor, at the same offset.  A
+first shuffle joins documents on anchors and marks those that stand in two documents or more.
 
-Windows.  A match can only lie in windows that own such an anchor.  No match is
-extended from it: equal windows share their anchor, so matching these windows
-exactly finds the same places.  Every such window goes, by its 64-bit hash, to a second shuffle that
-keeps the smallest document of each; windows of later documents are repeats, and
-runs of them are the maximal repeats (``spans``).  Pairs of documents are never
-formed, so a passage that a third of all documents share costs what any other does.
+Extension.  A match can only lie around a marked anchor.  Of each, the words up to
+which its windows reach, six to the left and six to the right at most, go with it to a second shuffle.
+There every occurrence of an anchor is extended both ways: a window of a document matches
+if the words to the left and to the right of the seed equal, word by word, those of a document of
+smaller id.  The occurrences are sorted by what stands around the seed, and each is compared with the
+first of its run, so pairs of documents are never formed, and a passage that a third of all documents share costs what any other does.
 
-Both shuffles combine first: of a window or anchor that several documents of one
+Repeats.  Matched windows of one document that follow one another are one match, extended as far as it
+goes: their runs are the maximal repeats (``spans``), 13 words or longer, and are removed.
+
+Words are compared by 64-bit hashes, thirteen a window; a false match needs two different words of one hash in
+otherwise equal windows.
+
+Both shuffles combine first: of an anchor or window that several documents of one
 batch hold, one record leaves the task, and what the batch itself settles is
-only passed on.  Texts are shuffled only for documents that a fixed-size Bloom
-filter does not rule out.
+only passed on.  Texts are shuffled only for documents that a Bloom
+filter of bounded size does not rule out.
 
 Defined cases: a null text has no words; fewer than 13 words hold no window; a
-passage repeated within one document only is kept; rows of one id never remove
-from each other; rows with a null id are kept whole and remove nothing; extra
-columns are ignored; an empty table gives no rows.
+passage repeated within one document only is kept; of documents that tie, having equal texts, the smallest id
+keeps its words; rows of one id never remove
+from each other; rows with a null id are kept whole and remove nothing; a very long text is one chunk in one task; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,33 +45,38 @@ from .tables import bucket_count, map_arrow, write_shared
 from .textkernel import chunks, gram_hashes, mix64, spans as counting, text_buffer, word_hashes, words
 
 WINDOW, SEED = 13, 7
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, SEED_BYTES = 4 << 20, 2 << 20
+#: Buckets of seeds with their words for each bucket of anchors.
+SPREAD = 3
 MARKS = "id long, fp long, pos binary"
 
 
-def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of these documents: document, start word, own anchor's word, anchor hash, window hash."""
-    starts, ends, at = words(buf, off)
-    h = word_hashes(buf, starts, ends)
-    count = np.maximum(np.diff(at) - WINDOW + 1, 0)
-    doc = np.repeat(np.arange(len(count)), count)
-    pos = counting(count)
-    if not len(pos):
-        z = np.empty(0, np.uint64)
-        return doc, pos, pos, z, z
-    w = at[doc] + pos
-    g = gram_hashes(h, SEED)
-    m = len(g) - (WINDOW - SEED)
-    low, place = g[:m].copy(), np.zeros(m, np.int64)
-    for k in range(1, WINDOW - SEED + 1):
-        less = g[k : k + m] < low
-        low[less] = g[k : k + m][less]
-        place[less] = k
-    return doc, pos, pos + place[w], low[w], gram_hashes(h, WINDOW)[w]
+class Windows:
+    """All windows of some documents: document, start word, own anchor's word, anchor hash, window hash; and the words."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.buf = buf
+        self.starts, self.ends, self.at = words(buf, off)
+        self.h = word_hashes(buf, self.starts, self.ends)
+        count = np.maximum(np.diff(self.at) - WINDOW + 1, 0)
+        self.doc = np.repeat(np.arange(len(count)), count)
+        self.pos = counting(count)
+        if not len(self.pos):
+            self.place, self.anchor, self.whole = self.pos, np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return
+        w = self.at[self.doc] + self.pos
+        g = gram_hashes(self.h, SEED)
+        m = len(g) - (WINDOW - SEED)
+        low, place = g[:m].copy(), np.zeros(m, np.int64)
+        for k in range(1, WINDOW - SEED + 1):
+            less = g[k : k + m] < low
+            low[less] = g[k : k + m][less]
+            place[less] = k
+        self.place, self.anchor, self.whole = self.pos + place[w], low[w], gram_hashes(self.h, WINDOW)[w]
 
 
 class _Batch:
-    """Items (hash, document, place) of some MB of text."""
+    """Anchors (hash, document, place) of some MB of text."""
 
     def __init__(self):
         self.h, self.id, self.fp, self.pos, self.bytes = [], [], [], [], 0
@@ -74,18 +86,18 @@ class _Batch:
             x.append(y)
         self.bytes += size
 
-    def rows(self, buckets: int, shared: bool, turn: int) -> pa.RecordBatch:
+    def rows(self, buckets: int, turn: int) -> pa.RecordBatch:
+        """Of each anchor that one document of the batch holds all its places, of the others the first and that they are shared."""
         h, ids, fps, pos = map(np.concatenate, (self.h, self.id, self.fp, self.pos))
         order = np.lexsort((ids, h))
         h, ids, fps, pos = h[order], ids[order], fps[order], pos[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         group = np.cumsum(first) - 1
-        own = ids == ids[np.flatnonzero(first)][group]
         many = np.zeros(int(group[-1]) + 1, bool) if len(h) else np.zeros(0, bool)
-        many[group[~own]] = True
-        settled = many[group] if shared else ~own
-        send = np.flatnonzero((~settled | first) if shared else own)
+        many[group[ids != ids[np.flatnonzero(first)][group]]] = True
+        settled = many[group]
+        send = np.flatnonzero(~settled | first)
         flag = settled[send].astype(np.uint8)
         out_k, out_b = [], []
         by, edge = blobs.by_bucket(mix64(h[send]), buckets)
@@ -96,10 +108,15 @@ class _Batch:
         local = np.flatnonzero(settled)
         if len(local):
             out_k.append(turn % buckets)
-            out_b.append(blobs.pack([np.empty(0, np.uint64), *_told(ids[local], fps[local]), pos[local], np.empty(0, np.uint8)]))
+            out_b.append(_local(ids[local], fps[local], pos[local]))
         return blobs.batch(out_k, out_b)
 
 
+def _local(ids: np.ndarray, fps: np.ndarray, pos: np.ndarray) -> bytes:
+    """Marks that are settled already, in the frame of what is yet to be."""
+    return blobs.pack([np.empty(0, np.uint64), *_told(ids, fps), pos.astype(np.uint32), np.empty(0, np.uint8)])
+
+
 def _told(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each item's place in a table of documents, and that table."""
     key = np.empty(len(ids), [("id", np.int64), ("fp", np.int64)])
@@ -144,8 +161,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(fps[part]), data], ["id", "fp", "pos"])
 
 
-def _settle(shared: bool, buckets: int):
-    """Marks of each bucket: anchors that two documents hold, or windows that an earlier document holds."""
+def _shared(buckets: int):
+    """Marks of each bucket's anchors that two documents hold."""
 
     def run(batches):
         frames = []
@@ -163,17 +180,13 @@ def _settle(shared: bool, buckets: int):
         flag = np.concatenate([f[5] for f in frames]).astype(bool)
         del frames
         order = np.lexsort((ids, h))
-        h, ids = h[order], ids[order]
+        h, ids, flag = h[order], ids[order], flag[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         group = np.cumsum(first) - 1
-        later = ids != ids[np.flatnonzero(first)][group]
-        if shared:
-            many = np.zeros(int(group[-1]) + 1, bool)
-            many[group[later | flag[order]]] = True
-            hit = many[group] & ~flag[order]
-        else:
-            hit = later
+        many = np.zeros(int(group[-1]) + 1, bool)
+        many[group[(ids != ids[np.flatnonzero(first)][group]) | flag]] = True
+        hit = many[group] & ~flag
         yield _mark_blobs(ids[hit], fps[order[hit]], pos[order[hit]], buckets)
 
     return run
@@ -186,45 +199,136 @@ def _anchors(buckets: int):
             buf, off = text_buffer(rb.column("text"))
             ids, fps = rb.column("id").to_numpy(zero_copy_only=False), rb.column("fp").to_numpy(zero_copy_only=False)
             for a, b in chunks(off):
-                doc, _, place, anchor, _ = windows(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                if len(doc):
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-                    doc = doc[new] + a
-                    held.add(anchor[new], ids[doc], fps[doc], place[new], int(off[b] - off[a]))
+                w = Windows(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                if len(w.doc):
+                    new = np.ones(len(w.doc), bool)
+                    new[1:] = (w.doc[1:] != w.doc[:-1]) | (w.place[1:] != w.place[:-1])
+                    doc = w.doc[new] + a
+                    held.add(w.anchor[new], ids[doc], fps[doc], w.place[new], int(off[b] - off[a]))
                 if held.bytes > BATCH_BYTES:
-                    yield held.rows(buckets, True, turn)
+                    yield held.rows(buckets, turn)
                     held, turn = _Batch(), turn + 1
         if held.bytes:
-            yield held.rows(buckets, True, turn)
+            yield held.rows(buckets, turn)
 
     return run
 
 
-def _candidates(buckets: int):
-    """Windows that own a marked anchor."""
+def equal_words(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows that start at these words agree in each word."""
+    same = np.ones(len(a), bool)
+    for k in range(WINDOW):
+        same &= h[a + k] == h[b + k]
+    return same
+
+
+def later(h: np.ndarray, whole: np.ndarray, first_word: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Windows that equal, word by word, a window of a smaller id among these."""
+    hit = np.zeros(len(ids), bool)
+    left = np.arange(len(ids))
+    while len(left):  # again only for windows of one hash that differ in their words
+        order = left[np.lexsort((ids[left], whole[left]))]
+        new = np.ones(len(order), bool)
+        new[1:] = whole[order][1:] != whole[order][:-1]
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        same = equal_words(h, first_word[order], first_word[head])
+        hit[order[same & (ids[order] != ids[head])]] = True
+        left = order[~same]
+    return hit
+
+
+def _seeds(buckets: int):
+    """Of each marked anchor the words around it that its windows reach, and which windows those are (a bit each, by the anchor's offset)."""
+
+    def rows(w: Windows, ids: np.ndarray, fps: np.ndarray, marked: np.ndarray, base: np.ndarray, turn: int) -> pa.RecordBatch | None:
+        hit = np.flatnonzero(marked[base[w.doc] + w.place])
+        if not len(hit):
+            return None
+        doc, pos, place = w.doc[hit], w.pos[hit], w.place[hit]
+        gone = later(w.h, w.whole[hit], w.at[doc] + pos, ids[doc])
+        out_k, out_b = [], []
+        if gone.any():
+            out_k.append(turn % buckets)
+            out_b.append(_local(ids[doc[gone]], fps[doc[gone]], pos[gone]))
+        hit, doc, pos, place = hit[~gone], doc[~gone], pos[~gone], place[~gone]
+        new = np.ones(len(hit), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        at = np.flatnonzero(new)
+        if len(at):
+            mask = np.bitwise_or.reduceat(1 << (place - pos), at).astype(np.uint8)
+            doc, place = doc[at], place[at]
+            first, last = w.at[doc] + pos[at], w.at[doc] + pos[np.append(at[1:], len(pos)) - 1] + WINDOW - 1
+            size = w.ends - w.starts  # the words side by side, one space after each
+            plain = np.full(int(size.sum()) + len(size), 32, np.uint8)
+            begin = np.concatenate(([0], np.cumsum(size + 1)))
+            plain[np.repeat(begin[:-1], size) + counting(size)] = w.buf[np.repeat(w.starts, size) + counting(size)]
+            n = begin[last + 1] - begin[first]
+            by, edge = blobs.by_bucket(mix64(w.anchor[hit][at]), buckets)
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                part = by[edge[k] : edge[k + 1]]
+                text = plain[np.repeat(begin[first[part]], n[part]) + counting(n[part])]
+                out_k.append(k)
+                out_b.append(blobs.pack([n[part].astype(np.uint32), *_told(ids[doc[part]], fps[doc[part]]), place[part].astype(np.uint32), mask[part], text]))
+        return blobs.batch(out_k, out_b)
 
     def run(batches):
-        held, turn = _Batch(), 0
+        turn = 0
         for rb in batches:
             buf, off = text_buffer(rb.column("text"))
             ids, fps = rb.column("id").to_numpy(zero_copy_only=False), rb.column("fp").to_numpy(zero_copy_only=False)
             marks = rb.column("pos")
-            for a, b in chunks(off):
-                doc, pos, place, _, whole = windows(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            for a, b in chunks(off, SEED_BYTES):
+                w = Windows(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 base = np.concatenate(([0], np.cumsum(np.diff(off[a : b + 1]) + 1)))
                 marked = np.zeros(int(base[-1]) + 1, bool)
                 for i in range(a, b):
                     marked[base[i - a] + np.frombuffer(marks[i].as_buffer(), np.uint32)] = True
-                hit = np.flatnonzero(marked[base[doc] + place])
-                if len(hit):
-                    d = doc[hit] + a
-                    held.add(whole[hit], ids[d], fps[d], pos[hit], int(off[b] - off[a]))
-                if held.bytes > BATCH_BYTES:
-                    yield held.rows(buckets, False, turn)
-                    held, turn = _Batch(), turn + 1
-        if held.bytes:
-            yield held.rows(buckets, False, turn)
+                out = rows(w, ids[a:b], fps[a:b], marked, base, turn)
+                turn += 1
+                if out is not None:
+                    yield out
+
+    return run
+
+
+def _extend(buckets: int):
+    """Marks of the windows that an earlier document holds, by extending each bucket's seeds both ways."""
+
+    def run(batches):
+        frames = []
+        for f in blobs.frames(batches):
+            if len(f[0]):
+                frames.append(f)
+            else:
+                yield _mark_blobs(f[2].view(np.int64)[f[1]], f[3].view(np.int64)[f[1]], f[4], buckets)
+        if not frames:
+            return
+        off = np.concatenate(([0], np.cumsum(np.concatenate([f[0] for f in frames]).astype(np.int64))))
+        ids = np.concatenate([f[2].view(np.int64)[f[1]] for f in frames])
+        fps = np.concatenate([f[3].view(np.int64)[f[1]] for f in frames])
+        place = np.concatenate([f[4] for f in frames]).astype(np.int64)
+        mask = np.concatenate([f[5] for f in frames])
+        buf = np.concatenate([f[6] for f in frames])
+        del frames
+        at = [np.zeros(1, np.int64)]
+        hashes = []
+        for a, b in chunks(off):
+            starts, ends, own = words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            hashes.append(word_hashes(buf[off[a] : off[b]], starts, ends))
+            at.append(at[-1][-1] + own[1:])
+        del buf
+        h, at = np.concatenate(hashes), np.concatenate(at)
+        reach = np.frexp(mask.astype(np.float64))[1] - 1  # how many words stand left of the seed
+        seed, first = [], []
+        for o in range(WINDOW - SEED + 1):
+            some = np.flatnonzero(mask >> o & 1)
+            seed.append(some)
+            first.append(at[some] + reach[some] - o)
+        shift = np.repeat(np.arange(len(seed)), [len(x) for x in seed])
+        seed, first = np.concatenate(seed), np.concatenate(first)
+        hit = later(h, gram_hashes(h, WINDOW)[first], first, ids[seed])
+        seed = seed[hit]
+        yield _mark_blobs(ids[seed], fps[seed], (place[seed] - shift[hit]).astype(np.uint32), buckets)
 
     return run
 
@@ -248,15 +352,16 @@ def repeat_marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"), bloom.places(F.col(id_col).cast("long")).alias("at"))
     told = rows.filter("id is not null").select("id", "fp", "text")
 
-    def marks_of(items: DataFrame, shared: bool) -> DataFrame:
-        settled = map_arrow(blobs.deal(items, buckets), _settle(shared, buckets), blobs.SCHEMA)
+    def marks_of(items: DataFrame, of: int, settle) -> DataFrame:
+        settled = map_arrow(blobs.deal(items, of), settle, blobs.SCHEMA)
         return write_shared(map_arrow(blobs.deal(settled, buckets), _merge, MARKS), "marks")
 
-    shared = marks_of(map_arrow(told, _anchors(buckets), blobs.SCHEMA), True)
+    shared = marks_of(map_arrow(told, _anchors(buckets), blobs.SCHEMA), buckets, _shared(buckets))
     held = spark.sparkContext.broadcast(bloom.build(shared.select("id"), "id"))
     some = map_arrow(rows, _passed(held, True), "id long, fp long, text string")
-    found = map_arrow(some.join(shared, ["id", "fp"]), _candidates(buckets), blobs.SCHEMA)
-    return rows, marks_of(found, False)
+    wide = buckets * SPREAD
+    found = map_arrow(some.join(shared, ["id", "fp"]), _seeds(wide), blobs.SCHEMA)
+    return rows, marks_of(found, wide, _extend(buckets))
 
 
 def _covered(n_words: int, at: np.ndarray) -> np.ndarray:

@@ -139,11 +139,26 @@ def test_substring_dedup_keeps_null_ids_and_nothing(spark):
 
 def test_windows_share_their_anchor():
     text = " ".join(f"t{i % 37}" for i in range(90))
-    buf = np.frombuffer((text + text).encode(), np.uint8)
-    off = np.array([0, len(text), 2 * len(text)])
-    doc, pos, place, anchor, whole = substrings.windows(buf, off)
-    half = len(doc) // 2
-    assert (whole[:half] == whole[half:]).all() and (anchor[:half] == anchor[half:]).all() and (place[:half] == place[half:]).all()
+    w = substrings.Windows(np.frombuffer((text + text).encode(), np.uint8), np.array([0, len(text), 2 * len(text)]))
+    half = len(w.doc) // 2
+    assert (w.whole[:half] == w.whole[half:]).all() and (w.anchor[:half] == w.anchor[half:]).all() and (w.place[:half] == w.place[half:]).all()
+
+
+def test_windows_of_one_hash_are_compared_word_by_word():
+    a, b = np.arange(13, dtype=np.uint64), np.arange(13, dtype=np.uint64) * np.uint64(7)
+    h = np.concatenate((a, b, a, b, b))
+    first = np.array([0, 13, 26, 39, 52])
+    assert substrings.later(h, np.zeros(5, np.uint64), first, np.array([5, 4, 9, 4, 6])).tolist() == [False, False, True, False, True]
+
+
+def test_substring_dedup_of_long_repeats(spark):
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(300)}"
+    passage = [word() for _ in range(30_000)]
+    rows = [(3, " ".join(passage)), (1, " ".join([word() for _ in range(50)] + passage[100:25_000] + [word() for _ in range(50)])), (2, "\n".join(passage[5:17])), (7, "  ".join(passage[5:18]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, [tuple(x) for x in r.spans]) for r in substrings.dedup(frame(spark, rows)).collect()}
+    assert got[1][1] == got[2][1] == 0
+    assert got[3][2][0] == (100, 24_900) and got[7] == (13, 13, [(0, 13)])
 
 
 def test_word_hashes_do_not_depend_on_place():
