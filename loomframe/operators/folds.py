@@ -1,81 +1,88 @@
 """The two order-dependent folds over short ranked lists: source coverage and rewrite merging.
 
-Both work on at most a few rows per query, grouped by query; each swap changes
-what the next may do, so they are folds rather than joins.
+Both work on at most a few rows per query, held as arrays; each swap changes
+what the next may do, so they are folds (``aggregate``) rather than joins.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+#: What a fold sees of a row.
+ROW = "array<struct<place: int, ord: bigint, source: string, exact: boolean>>"
 
-def cover_sources(results: list[dict], pool: list[dict], names: list[str], present: set[str]) -> list[dict]:
+
+def _list(part: Column) -> Column:
+    """The rows of a part in their order."""
+    row = F.struct(F.col("place").cast("int").alias("place"), F.col("ord").cast("long").alias("ord"), "source", "exact")
+    return F.coalesce(F.array_sort(F.collect_list(F.when(part, row))), F.array().cast(ROW))
+
+
+def _swapped(out: Column, at: Column, row: Column) -> Column:
+    return F.transform(out, lambda x, i: F.when(i == at, row).otherwise(x))
+
+
+def _last_spare(out: Column, reach: Column, more_than: int) -> Column:
+    """The last place before ``reach`` that is not pinned and whose source has more than ``more_than`` rows; null if there is none."""
+    same = lambda x: F.size(F.filter(out, lambda y: y["source"] == x["source"]))
+    return F.array_max(F.transform(out, lambda x, i: F.when((i < reach) & ~x["exact"] & (same(x) > more_than), i)))
+
+
+def _cover(results: Column, pool: Column, names: Column, present: Column) -> Column:
     """Bring in each named source that the results lack, if its best item was next in line.
 
-    A row has source, key and exact; ``pool`` is in score order and reaches at least one past the results.
+    ``pool`` is in score order and reaches at least one past the results.
     """
-    wanted = [n for n in dict.fromkeys(names) if n in present]
-    if len(results) < 2 or len(dict.fromkeys(names)) < 2 or len(wanted) < 2:
-        return results
-    out = list(results)
-    for name in wanted:
-        if any(name in r["source"] for r in out):
-            continue
-        held = {r["key"] for r in out}
-        place = next((i for i, r in enumerate(pool) if name in r["source"] and r["key"] not in held), None)
-        if place is None or place > len(results):
-            continue
-        sources = [r["source"] for r in out]
-        free = [i for i, r in enumerate(out) if not r["exact"] and sources.count(r["source"]) > 1]
-        if free:
-            out[free[-1]] = pool[place]
-    return out
-
-
-def merge_rewrites(base: list[dict], extra: dict[str, list[dict]], names: list[str], k: int, most: int = 2) -> list[dict]:
-    """Add rewritten queries' hits source by source, up to ``most`` items each; swap where the list is full."""
-    out, n = list(base), len(base)
-    for name in names:
-        for hit in extra.get(name, ()):
-            if sum(name in r["source"] for r in out) >= most:
-                break
-            if any(r["key"] == hit["key"] for r in out):
-                continue
-            if len(out) < k:
-                out.append(hit)
-                continue
-            sources = [r["source"] for r in out]
-            free = [i for i in range(min(n, len(out))) if not out[i]["exact"] and sources.count(out[i]["source"]) > most]
-            if not free:
-                break
-            out[free[-1]] = hit
-    return out
-
-
-FOLDED = "query_id long, rank int, ord long"
-
-
-def _rows(out: list[dict], query) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": [query] * len(out), "rank": range(1, len(out) + 1), "ord": [r["key"] for r in out]}).astype({"query_id": "int64", "rank": "int32", "ord": "int64"})
+    said = F.array_distinct(names)
+    wanted = F.filter(said, lambda n: F.array_contains(present, n))
 
+    def step(out: Column, name: Column) -> Column:
+        lacks = ~F.exists(out, lambda x: F.contains(x["source"], name))
+        fits = F.transform(pool, lambda p: F.contains(p["source"], name) & ~F.exists(out, lambda x: x["ord"] == p["ord"]))
+        place = F.array_position(fits, F.lit(True)).cast("int")  # from 1
+        spare = _last_spare(out, F.size(out), 1)
+        return F.when(lacks & (place > 0) & (place - 1 <= F.size(results)) & spare.isNotNull(), _swapped(out, spare, F.get(pool, place - 1))).otherwise(out)
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """``rows``: query_id, part ('result' or 'pool'), place, ord, source, exact, names, present (named sources that the corpus has)."""
+    few = (F.size(results) < 2) | (F.size(said) < 2) | (F.size(wanted) < 2)
+    return F.when(few, results).otherwise(F.aggregate(wanted, results, step))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {p: [{"key": r.ord, "source": r.source, "exact": r.exact} for r in pdf[pdf["part"] == p].sort_values("place").itertuples()] for p in ("result", "pool")}
-        first = pdf.iloc[0]
-        return _rows(cover_sources(parts["result"], parts["pool"], list(first["names"]), set(first["present"])), key[0])
 
-    return rows.groupBy("query_id").applyInPandas(fold, FOLDED)
+def _merge(base: Column, extra: Column, k: int, most: int) -> Column:
+    """Add rewritten queries' hits source by source, up to ``most`` items each; swap where the list is full.
 
+    ``extra``: (name, row) in the order of the names.  A source that has enough, or can swap nothing, is done.
+    """
+
+    def step(state: Column, hit: Column) -> Column:
+        out, name, row = state["out"], hit["name"], hit["row"]
+        over = state["done"].eqNullSafe(name)
+        enough = F.size(F.filter(out, lambda x: F.contains(x["source"], name))) >= most
+        held = F.exists(out, lambda x: x["ord"] == row["ord"])
+        full = F.size(out) >= k
+        spare = _last_spare(out, F.size(base), most)
+        add = ~over & ~enough & ~held
+        new = F.when(add & ~full, F.concat(out, F.array(row))).when(add & full & spare.isNotNull(), _swapped(out, spare, row)).otherwise(out)
+        done = F.when(over | enough | (add & full & spare.isNull()), name).otherwise(state["done"])
+        return F.struct(new.alias("out"), done.alias("done"))
+
+    return F.aggregate(extra, F.struct(base.alias("out"), F.lit(None).cast("string").alias("done")), step)["out"]
 
-def rewrites(rows: DataFrame, k: int = 5) -> DataFrame:
-    """``rows``: query_id, part ('base' or a source's name), place, ord, source, exact, names."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {p: [{"key": r.ord, "source": r.source, "exact": r.exact} for r in g.sort_values("place").itertuples()] for p, g in pdf.groupby("part")}
-        return _rows(merge_rewrites(parts.pop("base", []), parts, list(pdf.iloc[0]["names"]), k), key[0])
+def _ranked(folded: DataFrame) -> DataFrame:
+    return folded.select("query_id", F.posexplode("out").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), "x.ord")
 
-    return rows.groupBy("query_id").applyInPandas(fold, FOLDED)
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """``rows``: query_id, part ('result' or 'pool'), place, ord, source, exact, names, present (named sources that the corpus has)."""
+    per = rows.groupBy("query_id").agg(_list(F.col("part") == "result").alias("results"), _list(F.col("part") == "pool").alias("pool"), F.first("names").alias("names"), F.first("present").alias("present"))
+    return _ranked(per.select("query_id", _cover(F.col("results"), F.col("pool"), F.col("names"), F.col("present")).alias("out")))
+
+
+def rewrites(rows: DataFrame, k: int = 5, most: int = 2) -> DataFrame:
+    """``rows``: query_id, part ('base' or a source's name), place, ord, source, exact, names."""
+    row = F.struct(F.col("place").cast("int").alias("place"), F.col("ord").cast("long").alias("ord"), "source", "exact")
+    hits = F.array_sort(F.collect_list(F.when(F.col("part") != "base", F.struct(F.array_position("names", F.col("part")).alias("o"), F.col("place").cast("int").alias("place"), F.col("part").alias("name"), row.alias("row")))))
+    per = rows.groupBy("query_id").agg(_list(F.col("part") == "base").alias("base"), hits.alias("hits"))
+    extra = F.transform(F.filter("hits", lambda h: h["o"] > 0), lambda h: F.struct(h["name"], h["row"]))
+    return _ranked(per.select("query_id", _merge(F.col("base"), extra, k, most).alias("out")))

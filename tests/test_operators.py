@@ -14,31 +14,99 @@ def row(key, source, exact=False):
     return {"key": key, "source": source, "exact": exact}
 
 
-def test_coverage_brings_in_the_next_in_line():
+def cover_sources(results: list[dict], pool: list[dict], names: list[str], present: set[str]) -> list[dict]:
+    """Bring in each named source that the results lack, if its best item was next in line.
+
+    A row has source, key and exact; ``pool`` is in score order and reaches at least one past the results.
+    """
+    wanted = [n for n in dict.fromkeys(names) if n in present]
+    if len(results) < 2 or len(dict.fromkeys(names)) < 2 or len(wanted) < 2:
+        return results
+    out = list(results)
+    for name in wanted:
+        if any(name in r["source"] for r in out):
+            continue
+        held = {r["key"] for r in out}
+        place = next((i for i, r in enumerate(pool) if name in r["source"] and r["key"] not in held), None)
+        if place is None or place > len(results):
+            continue
+        sources = [r["source"] for r in out]
+        free = [i for i, r in enumerate(out) if not r["exact"] and sources.count(r["source"]) > 1]
+        if free:
+            out[free[-1]] = pool[place]
+    return out
+
+
+def merge_rewrites(base: list[dict], extra: dict[str, list[dict]], names: list[str], k: int, most: int = 2) -> list[dict]:
+    """Add rewritten queries' hits source by source, up to ``most`` items each; swap where the list is full."""
+    out, n = list(base), len(base)
+    for name in names:
+        for hit in extra.get(name, ()):
+            if sum(name in r["source"] for r in out) >= most:
+                break
+            if any(r["key"] == hit["key"] for r in out):
+                continue
+            if len(out) < k:
+                out.append(hit)
+                continue
+            sources = [r["source"] for r in out]
+            free = [i for i in range(min(n, len(out))) if not out[i]["exact"] and sources.count(out[i]["source"]) > most]
+            if not free:
+                break
+            out[free[-1]] = hit
+    return out
+
+
+def folded(spark, lists, names, present=None, k=5):
+    """The DataFrame folds on one query's lists."""
+    rows = [(1, part, i, r["key"], r["source"], r["exact"], names, sorted(present or [])) for part, rs in lists.items() for i, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "query_id long, part string, place int, ord long, source string, exact boolean, names array<string>, present array<string>")
+    got = folds.coverage(df) if "pool" in lists else folds.rewrites(df, k)
+    return [r["ord"] for r in got.orderBy("rank").collect()]
+
+
+def covered(spark, results, pool, names, present):
+    want = [r["key"] for r in cover_sources(results, pool, names, present)]
+    assert folded(spark, {"result": results, "pool": pool}, names, present) == want
+    return want
+
+
+def test_coverage_brings_in_the_next_in_line(spark):
     pool = [row(i, "民法典.md") for i in range(5)] + [row(9, "公司法.md")]
-    got = folds.cover_sources(pool[:5], pool, ["民法典", "公司法"], {"民法典", "公司法"})
-    assert [r["key"] for r in got] == [0, 1, 2, 3, 9]
+    assert covered(spark, pool[:5], pool, ["民法典", "公司法"], {"民法典", "公司法"}) == [0, 1, 2, 3, 9]
 
 
-def test_coverage_leaves_far_candidates_and_single_sources():
+def test_coverage_leaves_far_candidates_and_single_sources(spark):
     pool = [row(i, "民法典.md") for i in range(10)] + [row(20, "公司法.md")]
-    assert folds.cover_sources(pool[:5], pool, ["民法典", "公司法"], {"民法典", "公司法"}) == pool[:5]
-    assert folds.cover_sources(pool[:5], pool, ["民法典"], {"民法典"}) == pool[:5]
-    assert folds.cover_sources(pool[:5], pool, ["民法典", "刑法"], {"民法典"}) == pool[:5]
+    for names, present in ((["民法典", "公司法"], {"民法典", "公司法"}), (["民法典"], {"民法典"}), (["民法典", "刑法"], {"民法典"})):
+        assert covered(spark, pool[:5], pool, names, present) == [0, 1, 2, 3, 4]
 
 
-def test_coverage_never_swaps_pinned_rows():
+def test_coverage_never_swaps_pinned_rows(spark):
     pool = [row(1, "民法典.md"), row(2, "民法典.md"), row(3, "公司法.md")]
     results = [row(7, "民法典.md", True), row(1, "民法典.md"), row(2, "民法典.md")]
-    got = folds.cover_sources(results, pool, ["民法典", "公司法"], {"民法典", "公司法"})
-    assert [r["key"] for r in got] == [7, 1, 3]
+    assert covered(spark, results, pool, ["民法典", "公司法"], {"民法典", "公司法"}) == [7, 1, 3]
 
 
-def test_rewrites_fill_then_swap():
+def test_rewrites_fill_then_swap(spark):
     base = [row(i, "民法典.md") for i in range(5)]
-    got = folds.merge_rewrites(base, {"公司法": [row(8, "公司法.md"), row(9, "公司法.md"), row(10, "公司法.md")]}, ["公司法"], 5)
-    assert [r["key"] for r in got] == [0, 1, 2, 9, 8]
-    assert len(folds.merge_rewrites(base[:2], {"公司法": [row(8, "公司法.md")]}, ["公司法"], 5)) == 3
+    extra = {"公司法": [row(8, "公司法.md"), row(9, "公司法.md"), row(10, "公司法.md")]}
+    assert [r["key"] for r in merge_rewrites(base, extra, ["公司法"], 5)] == [0, 1, 2, 9, 8] == folded(spark, {"base": base, **extra}, ["公司法"])
+    assert folded(spark, {"base": base[:2], "公司法": extra["公司法"][:1]}, ["公司法"]) == [0, 1, 8]
+
+
+def test_folds_equal_the_plain_versions(spark):
+    import random
+
+    rng = random.Random(3)
+    laws = ["民法典", "公司法", "刑法"]
+    for _ in range(12):
+        pool = [row(i, rng.choice(laws) + ".md", rng.random() < 0.2) for i in range(rng.randrange(3, 9))]
+        names = rng.sample(laws, rng.randrange(2, 4))
+        covered(spark, pool[: rng.randrange(2, 6)], pool, names, set(rng.sample(laws, rng.randrange(1, 4))))
+        extra = {n: [row(rng.randrange(20), n + ".md") for _ in range(2)] for n in names}
+        base = [r for r in pool[:5] if rng.random() < 0.9] or pool[:1]
+        assert folded(spark, {"base": base, **extra}, names) == [r["key"] for r in merge_rewrites(base, extra, names, 5)]
 
 
 def test_auc_with_ties_and_empty_sides(spark):
