@@ -10,7 +10,8 @@ it holds at least ``least`` of the notice's *different* places, each by its two
 A pair that a text repeats, such as "of the", votes for one place however often it stands.
 
 Pairs whose hash no notice has leave the array of a text's pairs before it is
-exploded, in the one scan of the texts.  Broadcast: only the notice table, a constant of
+exploded, in the one scan of the texts; so do all pairs of a text that has none of any notice's
+*telling* pairs.  Those are so many of its places, its longest words first, that no span can reach ``least`` without one of them.  Broadcast: only the notice table, a constant of
 this module (about 1,300 places).  What is shuffled is votes, summed before the
 shuffle, and one marker a row with its word count.
 
@@ -26,6 +27,7 @@ extra columns are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,20 +91,29 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "^" + SEPARATORS, ""), SEPARATORS)
 
 
-def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def telling(words: list[str], least: float) -> list[int]:
+    """Places of a notice of which any span with a share of ``least`` holds one."""
+    pairs = len(words) - 1
+    spare = pairs - math.ceil(least * pairs - 1e-9)
+    return sorted(range(pairs), key=lambda p: (-min(len(words[p]), len(words[p + 1])), -len(words[p]) - len(words[p + 1]), p))[: spare + 1]
+
+
+def _votes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """Votes by id, fp, n_words, notice and diagonal; the row without a notice has the number of equal rows in ``copies``."""
     spark = docs.sparkSession
-    rows = [(i, label, base, len(w) - 1, p, w[p], w[p + 1]) for i, label, base, w in notice_table() for p in range(len(w) - 1)]
-    table = spark.createDataFrame(rows, "t int, label string, base boolean, pairs int, at int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
-    known = sorted({r["h"] for r in table.select("h").collect()})
+    rows = [(i, label, base, len(w) - 1, p, w[p], w[p + 1], base or p in telling(w, least)) for i, label, base, w in notice_table() for p in range(len(w) - 1)]
+    table = spark.createDataFrame(rows, "t int, label string, base boolean, pairs int, at int, a string, b string, tells boolean").withColumn("h", F.xxhash64("a", "b"))
+    hashes = table.select("h", "tells").collect()
+    known, tells = sorted({r["h"] for r in hashes}), sorted({r["h"] for r in hashes if r["tells"]})
     w = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), _words(F.col(text_col)).alias("w"))
     w = w.withColumn("n_words", (F.size("w") - F.when(F.get("w", F.size("w") - 1) == "", 1).otherwise(0)).cast("long"))
     pair = lambda i: F.xxhash64(F.get(F.col("w"), i), F.get(F.col("w"), i + 1))
     places = F.when(F.col("n_words") > 1, F.filter(F.sequence(F.lit(0), F.col("n_words").cast("int") - 2), lambda i: pair(i).isin(known)))
+    places = F.get(F.transform(F.array(places), lambda x: F.when(F.exists(x, lambda i: pair(i).isin(tells)), x)), 0)
     hit = F.transform(places, lambda i: F.struct(i.alias("p"), F.get(F.col("w"), i).alias("a"), F.get(F.col("w"), i + 1).alias("b")))
     marker = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
     hits = w.select("id", "fp", "n_words", F.explode(F.concat(marker, F.coalesce(hit, F.array().cast("array<struct<p:int,a:string,b:string>>")))).alias("x")).select("id", "fp", "n_words", "x.*")
-    hits = hits.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(table), ["h", "a", "b"], "left")
+    hits = hits.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(table), ["h", "a", "b"], "left").drop("tells")
     bit = lambda k: F.when(F.floor(F.col("at") / BITS) == k, F.expr(f"shiftleft(1L, at % {BITS})")).otherwise(F.lit(0).cast("long"))
     return hits.groupBy("id", "fp", "n_words", "t", "label", "base", "pairs", (F.col("p") - F.col("at")).alias("diagonal")).agg(
         *(F.bit_or(bit(k)).alias(f"m{k}") for k in range(MASKS)), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count_if(F.col("p") < 0).alias("copies"))
@@ -110,7 +121,7 @@ def _votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, gap: int, least: float) -> DataFrame:
     """Merged diagonals, verified (``good``) or not, and the markers."""
-    votes = _votes(docs, id_col, text_col)
+    votes = _votes(docs, id_col, text_col, least)
     own = Window.partitionBy("id", "fp", "t").orderBy("diagonal")
     opens = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(own) > gap), 1).otherwise(0)
     spans = votes.withColumn("o", opens).withColumn("g", F.sum("o").over(own.rowsBetween(Window.unboundedPreceding, 0)))
