@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
+from ..functions import text
 from ..functions.text import norm_source
 from ..operators import decisions, evalkit, topk
 from ..operators.errors import TRANSIENT_CODES, TRANSIENT_NAMES
 from ..sources import read
-from .retrieval import K, items, questions
+from .parsing import pairs_sql, strip_sql
+from .retrieval import _PINS, K, items, questions
 
 CLAIMS = table("id string, claims int, supported int, failed boolean", ("a", 4, 4, False), ("b", 3, 2, False), ("c", 0, 0, False), ("d", None, None, True), ("e", 5, 5, False))
 MUTANTS = table("id string, kind string, judge boolean, chk boolean", ("a", "fabricated_cite", True, True), ("b", "fabricated_cite", False, True), ("c", "article_swap", False, False), ("d", "article_swap", True, False), ("e", "unsupported_append", True, False))
@@ -77,15 +79,29 @@ SELECT f.name, f.metric, f.floor, l.value, coalesce(l.value >= f.floor, false) A
 
 
 def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best score and its lead over the fifth, of each query among the other vectors."""
-    top = topk.scores(questions(spark, sf_dir), items(spark, sf_dir), K + 1).filter("ord <> query_id")
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("pool_rank"))).filter(F.col("r") <= K)
-    return top.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top_1"), F.round(F.max("score") - F.min("score"), 6).alias("margin"))
+    """Best score, its lead over the fifth, the share of the question's character pairs in the found texts, and the best plain cosine (infinite if an item is pinned).
 
-
-SIGNAL_TABLE = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
-s AS (SELECT query_id, round(coalesce(list_cosine_similarity(v, qv), 0), 9) AS score FROM q, e WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(list_cosine_similarity(v, qv), 0), 9) DESC, vec_id) <= 5)
-SELECT query_id, round(max(score), 6) AS top_1, round(max(score) - min(score), 6) AS margin FROM s GROUP BY query_id"""
+    A vector's text is that of the document of its id.
+    """
+    q, x = questions(spark, sf_dir, 1), items(spark, sf_dir)
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("t"))
+    top = topk.hybrid(q, x, K).join(d, "ord", "left").join(x.select("ord", "embedding"), "ord").join(q.select("query_id", "qv"), "query_id")
+    top = top.withColumn("model", F.round(topk.cosine(F.col("qv"), F.col("embedding")), 9))
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("t", F.lit("")).alias("t")))), lambda r: r["t"])
+    s = top.groupBy("query_id").agg(
+        F.max("score").alias("best"), F.max(F.when(F.col("rank") == K, F.col("score"))).alias("last"), F.min("score").alias("least"), F.array_join(ends, "").alias("hay"),
+        F.when(F.bool_or("exact"), F.lit(float("inf"))).otherwise(F.max("model")).alias("rerank"))
+    s = s.join(d.withColumnRenamed("t", "question"), F.col("query_id") == F.col("ord"), "left")
+    pairs = lambda c: text.char_pairs(F.coalesce(c, F.lit("")), text.PAIRS_SIGNAL)
+    s = s.select("query_id", "best", F.coalesce("last", "least").alias("last"), "rerank", pairs(F.col("question")).alias("g"), pairs(F.col("hay")).alias("h"))
+    return s.select("query_id", F.round("best", 6).alias("top_1"), F.round(F.col("best") - F.col("last"), 6).alias("margin"), F.round(text.coverage(F.col("g"), F.col("h")), 6).alias("coverage"), F.round("rerank", 6).alias("rerank"))
+
+
+SIGNAL_TABLE = f"""WITH {_PINS}, h AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, boosted DESC, vec_id) AS rank FROM b QUALIFY rank <= 5),
+a AS (SELECT query_id, max(boosted) AS best, max(boosted) FILTER (WHERE rank = 5) AS last, min(boosted) AS least, string_agg(coalesce(text, ''), '' ORDER BY rank) AS hay, CASE WHEN bool_or(exact) THEN 'inf'::DOUBLE ELSE max(cos) END AS rerank FROM h LEFT JOIN documents d ON d.doc_id = vec_id GROUP BY query_id),
+st AS MATERIALIZED (SELECT a.*, {strip_sql("coalesce(d.text, '')", text.PAIRS_SIGNAL)} AS q, {strip_sql('hay', text.PAIRS_SIGNAL)} AS hs FROM a LEFT JOIN documents d ON d.doc_id = query_id),
+g AS MATERIALIZED (SELECT *, {pairs_sql('q')} AS g, {pairs_sql('hs')} AS hg FROM st)
+SELECT query_id, round(best, 6) AS top_1, round(best - coalesce(last, least), 6) AS margin, round(CASE WHEN len(g) = 0 OR len(hg) = 0 THEN 0 ELSE len(list_intersect(g, hg))::DOUBLE / len(g) END, 6) AS coverage, round(rerank, 6) AS rerank FROM g"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +142,11 @@ def score_gate_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = POLICY.df(spark).withColumn("policy", F.lit("judge"))
     refused = decisions.with_policy(*(F.col(c) for c in ("policy", "hard_skip", "abstained", "judged", "answerable")))
     p = p.withColumn("refused", refused)
-    t = p.select(F.col("named").alias("t")).filter("t is not null").distinct().unionByName(spark.sql("select cast(null as double) as t"))
-    both = p.join(F.broadcast(t))
-    out = F.col("refused") | F.coalesce(F.col("named") < F.col("t"), F.lit(False))
-    return both.groupBy("t").agg(F.count_if(out & F.col("ood")).alias("caught"), F.count_if(out & ~F.col("ood")).alias("lost"))
+    base = p.agg(F.count_if(F.col("refused") & F.col("ood")).alias("caught"), F.count_if(F.col("refused") & ~F.col("ood")).alias("lost"))
+    per = p.filter("named is not null").groupBy("named").agg(F.count_if(~F.col("refused") & F.col("ood")).alias("a"), F.count_if(~F.col("refused") & ~F.col("ood")).alias("b"))
+    more = evalkit.running(evalkit.bucketed(per, "named"), "named", ["a", "b"]).crossJoin(F.broadcast(base))  # one row
+    curve = more.select(F.col("named").alias("t"), (F.col("caught") + F.col("before_a")).alias("caught"), (F.col("lost") + F.col("before_b")).alias("lost"))
+    return base.select(F.lit(None).cast("double").alias("t"), "caught", "lost").unionByName(curve)
 
 
 SCORE_GATE_CURVE = f"""WITH p AS (SELECT *, {_REFUSED} AS refused FROM (SELECT *, 'judge' AS policy FROM {POLICY.sql()})), t AS (SELECT DISTINCT named AS t FROM p WHERE named IS NOT NULL UNION ALL SELECT NULL::DOUBLE)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import providers, sessions
+from ..fixtures import table
+from ..operators import caches, providers, sessions
 from ..sources import read
 
 
@@ -50,6 +51,60 @@ x AS (SELECT doc_id, {_RAW} FROM h)
 SELECT doc_id, 8 AS dim, {", ".join(f"round(x{i} / {_NORM}, 4) AS v{i}" for i in range(8))} FROM x"""
 
 
+VECTORS = table("k string, v array<double>", ("a", [1.0, 0.0]), ("b", [1.0]), ("c", [0.0, 1.0]), ("d", []), ("e", None))
+HISTORY = table("session string, seq int, item string", *(("s", i, f'{{"n": {i}}}' if i % 4 else ("broken", "[1]", "3")[i // 4 % 3]) for i in range(30)), ("t", 0, '{"a": 1}'), ("t", 1, ""), ("u", 0, "null"))
+UPLOADS = table("id int, name string, type string, bytes int, sha string", (1, "合同 范本(1).md", "", 10, "a1b2c3d4e5"), (2, "x.txt", "text/markdown", 5242880, "00ff00ff00"), (3, "x.txt", "text/plain", 5, "1"), (4, "big.MD", "", 5242881, "2"), (5, "../e.md", "", 1, "abcdef0123"), (6, "n" * 70 + ".md", "", 0, "9876543210"))
+#: Fixed value: the largest upload.
+MOST_BYTES = 5 * 1024 * 1024
+
+
+def cache_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors of the right length, each with the number of those dropped."""
+    kept, dropped = caches.whole(VECTORS.df(spark), "v", 2)
+    return kept.select("k").crossJoin(dropped)  # one row
+
+
+CACHE_SCAN = f"SELECT k, (SELECT count(*) FROM {VECTORS.sql()} WHERE v IS NULL OR len(v) <> 2) AS dropped FROM {VECTORS.sql()} WHERE len(v) = 2"
+
+
+def cache_evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 entries inserted last, whenever they were used."""
+    return caches.keep_newest(read(spark, sf_dir, "events"), "event_id", 2000, "ts").select("event_id")
+
+
+CACHE_EVICT_OLDEST = "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 2000"
+
+
+def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 20 entries of each session; of those the ones that can be read."""
+    newest = sessions.tail(HISTORY.df(spark), ["session"], "seq")
+    return caches.good_items(newest, "item").select("session", "seq")
+
+
+HISTORY_ITEMS = f"SELECT session, seq FROM (SELECT * FROM {HISTORY.sql()} QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 20) WHERE CASE WHEN json_valid(item) THEN json_type(item) = 'OBJECT' ELSE false END"
+
+
+def remove_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hashes an index holds, by how many rows, after one source is taken out."""
+    d = read(spark, sf_dir, "documents").select("source", F.sha1(F.col("text").cast("binary")).alias("hash"))
+    return caches.without_source(d, "src1").groupBy("hash").agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("hashes"))
+
+
+REMOVE_BY_SOURCE = "SELECT rows, count(*) AS hashes FROM (SELECT sha1(text) AS hash, count(*) AS rows FROM documents WHERE source IS DISTINCT FROM 'src1' GROUP BY 1) GROUP BY rows"
+
+
+def upload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which uploads are taken, and the name that each gets: a safe one, with eight hexadecimal digits (here of its hash) to tell it from others."""
+    u = UPLOADS.df(spark)
+    ok = (F.endswith(F.lower("name"), F.lit(".md")) | (F.col("type") == "text/markdown")) & (F.col("bytes") <= MOST_BYTES)
+    safe = F.substring(F.regexp_replace(F.regexp_replace("name", r"(?i)\.md$", ""), r"[^A-Za-z0-9_一-龥-]", "_"), 1, 60)
+    return u.select("id", ok.alias("taken"), F.when(ok, F.concat(safe, F.lit("-"), F.substring("sha", 1, 8), F.lit(".md"))).alias("stored"))
+
+
+_OK = f"(lower(name) LIKE '%.md' OR type = 'text/markdown') AND bytes <= {MOST_BYTES}"
+UPLOAD_RULES = f"SELECT id, {_OK} AS taken, CASE WHEN {_OK} THEN substr(regexp_replace(regexp_replace(name, '\\.md$', '', 'i'), '[^A-Za-z0-9_一-龥-]', '_', 'g'), 1, 60) || '-' || substr(sha, 1, 8) || '.md' END AS stored FROM {UPLOADS.sql()}"
+
+
 def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: events and values by type in tumbling hours."""
     e = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -70,5 +125,5 @@ def ext_revenue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXT_REVENUE_ROLLUP = """SELECT r_name, n_name, count(*) AS lines, round(sum(l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE)), 0) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"""
 
-QUERIES = {f.__name__: f for f in (session_windows, session_tail, ops_metrics, fallback_embedding, ext_tumbling, ext_revenue_rollup)}
+QUERIES = {f.__name__: f for f in (session_windows, session_tail, ops_metrics, fallback_embedding, cache_scan, cache_evict_oldest, history_items, remove_by_source, upload_rules, ext_tumbling, ext_revenue_rollup)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import evalkit, folds, providers, topk
+from loomframe.operators import caches, evalkit, folds, providers, topk
 from loomframe.sources import files
 from loomframe.streaming import jobs
 
@@ -201,6 +201,17 @@ def test_files(spark, tmp_path):
     assert files.next_version(prev, cur).first()["version"] == 4 and files.next_version(prev.limit(0), cur).first()["version"] == 1
 
 
+def test_cache_store_swaps(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert caches.read(spark, path, "k string").count() == 0
+    for rows in ([("a",), ("b",)], [("c",)]):
+        caches.store(spark.createDataFrame(rows, "k string"), path)
+        assert sorted(r.k for r in caches.read(spark, path, "k string").collect()) == sorted(k for k, in rows)
+    assert not (tmp_path / "cache.staged").exists() and not (tmp_path / "cache.old").exists()
+    kept, dropped = caches.whole(spark.createDataFrame([("a", [1.0]), ("b", None), ("c", [])], "k string, v array<double>"), "v", 1)
+    assert kept.count() == 1 and dropped.first()["dropped"] == 2
+
+
 def test_windowed_counts(spark):
     e = spark.createDataFrame([(datetime.datetime(2024, 1, 1, h), "a", 1.0) for h in (0, 0, 1)], "ts timestamp, event_type string, value double")
     assert sorted(r.n for r in jobs.windowed_counts(e).collect()) == [1, 2]
