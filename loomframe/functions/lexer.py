@@ -1,7 +1,7 @@
 """Names and numbered references of a text, bound clause by clause.
 
-A text becomes one token per row: a known name, a reference, a clause end or a
-single character.  Which names govern a reference then follows from running
+A text becomes one row for each known name, reference and clause end, with the gap of
+plain text before it, and one for its own end.  Which names govern a reference then follows from running
 counts within the text.
 """
 
@@ -19,10 +19,11 @@ COORDINATION = r"[\s和与及、,，/]"
 
 
 def tokens(df: DataFrame, key: str, col: str) -> DataFrame:
-    """key, i, tok, kind (name, ref, end, char) and clause of each token."""
-    found = F.regexp_extract_all(F.col(col), F.lit(rf"(?:{NAMES})|{REFERENCE}|{CLAUSE_END}|[\s\S]"), F.lit(0))
-    t = df.select(key, F.posexplode(found).alias("i", "tok"))
-    kind = F.when(F.regexp_like("tok", F.lit(f"^(?:{NAMES})$")), "name").when(F.regexp_like("tok", F.lit(f"^{REFERENCE}$")), "ref").when(F.regexp_like("tok", F.lit(f"^{CLAUSE_END}$")), "end").otherwise("char")
+    """key, i, gap, tok, kind (name, ref, end) and clause of each token; the text's end is one without characters."""
+    pattern = rf"(?:{NAMES})|{REFERENCE}|{CLAUSE_END}"
+    found = F.arrays_zip(F.split(F.col(col), pattern).alias("gap"), F.regexp_extract_all(F.col(col), F.lit(pattern), F.lit(0)).alias("tok"))
+    t = df.select(key, F.posexplode(found).alias("i", "x")).select(key, "i", "x.gap", F.coalesce("x.tok", F.lit("")).alias("tok"))
+    kind = F.when(F.regexp_like("tok", F.lit(f"^(?:{NAMES})$")), "name").when(F.regexp_like("tok", F.lit(f"^{REFERENCE}$")), "ref").otherwise("end")
     t = t.withColumn("kind", kind)
     before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumn("clause", F.coalesce(F.count(F.when(F.col("kind") == "end", 1)).over(before), F.lit(0)))
@@ -31,7 +32,7 @@ def tokens(df: DataFrame, key: str, col: str) -> DataFrame:
 def signals(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, numbers (no name governs them), names, and pairs (null where no name is mentioned)."""
     upto = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    t = tokens(df, key, col).withColumn("glue", (F.col("kind") == "name") | F.regexp_like("tok", F.lit(f"^{COORDINATION}$")))
+    t = tokens(df, key, col).withColumn("glue", (F.col("kind") == "name") & F.regexp_like("gap", F.lit(f"^{COORDINATION}*$")))
     t = t.withColumn("chain", F.count(F.when(~F.col("glue"), 1)).over(upto))
     within = Window.partitionBy(key, "clause").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     is_name = F.col("kind") == "name"
@@ -58,7 +59,8 @@ def citations(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, i, number, spelling, source (nearest name before it in its clause), sentence; the first of each (source, number)."""
     within = Window.partitionBy(key, "clause").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     t = tokens(df, key, col).withColumn("source", F.last(F.when(F.col("kind") == "name", F.col("tok")), ignorenulls=True).over(within))
-    sentence = t.filter("kind <> 'end'").groupBy(key, "clause").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "tok"))), lambda x: x["tok"]), "").alias("sentence"))
+    said = F.concat("gap", F.when(F.col("kind") == "end", "").otherwise(F.col("tok")))
+    sentence = t.groupBy(key, "clause").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", said.alias("said")))), lambda x: x["said"]), "").alias("sentence"))
     refs = t.filter("kind = 'ref'").withColumn("spelling", F.regexp_replace("tok", r"\s+", "")).withColumn("number", numeral(F.col("spelling"))).filter("number > 0")
     first = F.row_number().over(Window.partitionBy(key, F.coalesce("source", F.lit("")), "number").orderBy("i"))
     return refs.withColumn("n", first).filter("n = 1").join(sentence, [key, "clause"]).select(key, "i", "number", "spelling", "source", "sentence")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The white space that the rules below strip (a superset of ASCII white space).
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -26,6 +30,23 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+#: The entities that the JVM replaces by itself; the ampersand last, so that nothing is undone twice.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+@F.pandas_udf(StringType())
+def _unescape_all(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Entities as characters.  Only texts with others than ``ENTITIES`` leave the JVM."""
+    usual, known = c, "|".join(e[1:-1] for e, _ in ENTITIES)
+    for entity, char in ENTITIES:
+        usual = F.replace(usual, F.lit(entity), F.lit(char))
+    return F.when(F.regexp_like(c, F.lit(rf"&(?!(?:{known});)#?\w")), _unescape_all(c)).otherwise(usual)
+
+
 def norm_source(c: Column) -> Column:
     """A source's bare name: no state prefix, quotes, white space or file ending."""
     bare = F.regexp_replace(F.regexp_replace(c, "中华人民共和国", ""), WS[:-1] + "《》]", "")

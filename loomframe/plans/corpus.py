@@ -180,15 +180,14 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>", "")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|td|th|ul|ol|table|article|section|nav)>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(e), F.lit(c))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x{3000}\x{00A0}]+", " "), r" ?\n[ \n]*", "\n")
+    t = F.regexp_replace(F.regexp_replace(text.unescape(t), r"[ \t\x{3000}\x{00A0}]+", " "), r" ?\n[ \n]*", "\n")
     return read(spark, sf_dir, "pages").select("page_id", text.trim_ws(t).alias("text"))
 
 
 _HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'g'), '(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|td|th|ul|ol|table|article|section|nav)>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
-for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·")):
     _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
+_HTML = f"regexp_replace({_HTML}, '&amp;?', '&', 'g')"
 STRIP_HTML = rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\x{{3000}}\x{{00A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), {_TRIM}) AS text FROM pages"
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """source (file name), text: each ``.md`` file whole, in a defined order by name."""
+    """source (file name), text: each ``.md`` file whole, in a defined order by name.  A missing folder or one without such a file is an error."""
     d = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    if not d.inputFiles():
+        raise FileNotFoundError(f"no Markdown file in {path}")
     return d.select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("source"), F.col("value").alias("text"))
 
 

@@ -58,3 +58,22 @@ def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "10 minutes",
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
+
+
+def token_texts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(session_id, text): the tokens of each session's event stream in order, after every batch that touched it.
+
+    ``events``: session_id, seq, ts, event, data.  Only ``token`` events add text; bad JSON is skipped.
+    """
+    said = F.try_variant_get(F.try_parse_json("data"), "$.t", "string")
+    tokens = events.withWatermark("ts", late).filter("event = 'token'").withColumn("t", said).filter("t is not null")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"])
+    return tokens.groupBy("session_id").agg(F.array_join(ordered, "").alias("text"))
+
+
+def cancel(query, spark: SparkSession, group: str | None = None) -> None:
+    """Stop a stream and the jobs of its group; what its checkpoint holds is done, the rest is done by the next start."""
+    if group is not None:
+        spark.sparkContext.cancelJobGroup(group)
+    query.stop()
+    query.awaitTermination()

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomframe.functions import text
 from loomframe.operators import caches, evalkit, folds, providers, topk
 from loomframe.sources import files
 from loomframe.streaming import jobs
@@ -201,6 +202,30 @@ def test_files(spark, tmp_path):
     assert files.next_version(prev, cur).first()["version"] == 4 and files.next_version(prev.limit(0), cur).first()["version"] == 1
 
 
+def test_token_stream_and_cancel(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [("a", 2, t0, "token", '{"t": "lo"}'), ("a", 1, t0, "token", '{"t": "hel"}'), ("a", 3, t0, "token", "{bad"), ("a", 4, t0, "done", "{}"), ("b", 1, t0, "token", '{"t": "x"}')]
+    schema = "session_id string, seq long, ts timestamp, event string, data string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = jobs.token_texts(jobs.read_stream(spark, str(tmp_path / "in"), schema))
+    q = out.writeStream.outputMode("complete").format("memory").queryName("texts").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    assert {r.session_id: r.text for r in spark.table("texts").collect()} == {"a": "hello", "b": "x"}
+    jobs.cancel(q, spark, "texts")
+    assert not q.isActive
+
+
+def test_all_entities_are_unescaped(spark):
+    rows = ["a &amp;lt; b", "&eacute;&#x4e2d;&#20013; &amp;", "&nbsp;x &unknown; &", None, "&quot;&#39;"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", text.unescape(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == ["a &lt; b", "é中中 &", "\u00a0x &unknown; &", None, "\"'"]
+
+
+def test_no_corpus_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception):  # noqa: B017
+        files.markdown(spark, str(tmp_path)).count()
+
+
 def test_cache_store_swaps(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert caches.read(spark, path, "k string").count() == 0
