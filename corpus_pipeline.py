@@ -1,6 +1,11 @@
 """A training-data pipeline over ``documents``: five stages, each written and reread as the next one's input.
 
 ``doc_id`` is the key of the table.  Every stage but the last returns the columns of ``documents``.
+
+Defined cases, at every stage: null and empty texts stay (they hold no toxic word, no line, no shingle, no word and no piece); very
+long texts are like any other; rows that repeat an id are kept or dropped each by its own text in the first two stages, go together with
+their id in the third, share their turns in the fourth and are encoded each in the fifth; rows with a null id stay unless they are
+toxic; ties are settled by the smaller id; extra columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ One global window runs over the per-source sums: one row per source.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; sizes of 0 give targets of 0; ties are ordered by id; rows that repeat
-an id are separate documents (equal rows are interchangeable); extra columns are
-dropped; an empty table gives no rows.
+an id, or have none, are separate documents (equal rows are interchangeable); a very long text counts by its words like any
+other, and closes a gap only if it is the nearest; extra columns are dropped, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
