@@ -104,6 +104,19 @@ def merge_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.rewrites(rows, K).withColumnRenamed("ord", "vec_id")
 
 
+MERGE_REWRITES = """WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, ['s' || label, 's' || (label + 1) % 10] AS names FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT vec_id, embedding::DOUBLE[] AS v, 's' || label AS source FROM embeddings),
+s AS MATERIALIZED (SELECT query_id, names, vec_id, source, round(coalesce(list_cosine_similarity(v, qv), 0), 9) AS cos FROM q, x),
+b AS (SELECT query_id, list({'o': vec_id, 's': source} ORDER BY cos DESC, vec_id) AS base FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) <= 5) GROUP BY query_id),
+h AS (SELECT query_id, list({'o': vec_id, 's': source} ORDER BY list_position(names, source), cos DESC, vec_id) AS hits FROM (SELECT * FROM s WHERE source IN (names[1], names[2]) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY cos DESC, vec_id) <= 2) GROUP BY query_id),
+f(query_id, k, res, done) AS (SELECT query_id, 0, base, NULL::VARCHAR FROM b UNION ALL
+  SELECT query_id, k + 1, CASE WHEN skip THEN res WHEN len(res) < 5 THEN list_append(res, hit) WHEN spare IS NOT NULL THEN list_concat(list_append(res[:spare - 1], hit), res[spare + 1:]) ELSE res END, CASE WHEN over OR (NOT skip AND len(res) >= 5 AND spare IS NULL) THEN hit.s ELSE done END
+  FROM (SELECT *, over OR held AS skip FROM (SELECT f.query_id, f.k, f.res, f.done, h.hits[f.k + 1] AS hit, coalesce(f.done = h.hits[f.k + 1].s, false) OR len(list_filter(f.res, lambda r: r.s = h.hits[f.k + 1].s)) >= 2 AS over, len(list_filter(f.res, lambda r: r.o = h.hits[f.k + 1].o)) > 0 AS held,
+    list_max(list_filter(range(1, least(len(b.base), len(f.res)) + 1), lambda i: len(list_filter(f.res, lambda r: r.s = f.res[i].s)) > 2)) AS spare FROM f JOIN h USING (query_id) JOIN b USING (query_id) WHERE f.k < len(h.hits)))),
+l AS (SELECT query_id, arg_max(res, k) AS res FROM f GROUP BY query_id)
+SELECT query_id, unnest(range(1, len(res) + 1))::INTEGER AS rank, unnest(res).o AS vec_id FROM l"""
+
+
 def rerank_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pinned items keep their place; the others are ordered anew by a model's score (here: the reverse of the old)."""
     top = topk.hybrid(questions(spark, sf_dir, 1), items(spark, sf_dir), K)
