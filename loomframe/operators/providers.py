@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import TRANSIENT_CODES, TRANSIENT_NAMES
@@ -83,3 +83,28 @@ def embed_missing(texts: DataFrame, cache: DataFrame, text: str, embed: Embedder
                 yield pd.DataFrame({"k": some["k"], "embedding": ask(embed, some["t"].tolist(), dim, strict=strict)})
 
     return new.mapInPandas(run, "k string, embedding array<double>")
+
+
+Scorer = Callable[[list[str], list[str]], list[float]]
+
+
+def rerank(pairs: DataFrame, question: str, text: str, score: Scorer, group: str, batch: int = 32) -> DataFrame:
+    """``pairs`` with ``model``, the score of question and text, and ``place`` by it within ``group``; nothing is cut off.
+
+    The model is asked in batches inside the executors.  An answer with another number of scores than pairs is an error.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out: list[float] = []
+            for a in range(0, len(p), batch):
+                some = p.iloc[a : a + batch]
+                got = score(some[question].tolist(), some[text].tolist())
+                if len(got) != len(some):
+                    raise ValueError(f"the model gave {len(got)} scores for {len(some)} pairs")
+                out += got
+            yield p.assign(model=np.array(out, float))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", model double"
+    scored = pairs.mapInPandas(run, schema)
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("model"), text)))

@@ -30,6 +30,7 @@ CHECKS = table(
 )
 ORIGINALS = table("id int, total int, verified int, content_mismatch int", (1, 3, 2, 0), (2, 2, 1, 1), (3, 0, 0, 0), (4, 4, 4, 0))
 JUDGED = table("id string, claims int, supported int, failed boolean", ("a", 4, 4, False), ("b", 3, 2, False), ("c", 0, 0, False), ("d", None, None, True), ("e", 5, 1, False), ("f", 3, 2, False))
+VERDICTS = table("id string, verdicts array<string>, failed boolean", ("a", ["supported", "supported"], False), ("b", ["supported", "unsupported"], False), ("c", [], False), ("d", ["supported"], True))
 MATCHED = table("id int, rank int, score double", (1, 0, 0.7), (1, 2, 0.4), (2, -1, None), (2, 1, 0.55), (3, -1, None))
 FIRST = table("id int, outcome string, answerable boolean, chunks int, tokens int, latency int", (1, "judged", False, 5, 100, 900), (2, "judged", False, 5, 110, 800), (3, "binding_mismatch", True, 5, 120, 700), (4, "error", None, 5, 0, 600), (5, "judged", False, 5, 90, 500), (6, "judged", True, 5, 80, 400))
 SECOND = table("id int, outcome string, answerable boolean, chunks int, tokens int, latency int", (1, "judged", True, 7, 140, 1000), (2, "parse_failure", None, 7, 130, 1100), (3, "judged", True, 6, 125, 900), (4, "judged", True, 7, 1, 1), (5, "judged", True, 5, 2, 2))
@@ -134,6 +135,16 @@ def worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORST_FIRST = f"SELECT row_number() OVER (ORDER BY supported::DOUBLE / claims, id) AS place, id, round(supported::DOUBLE / claims, 6) AS faithfulness FROM {JUDGED.sql()} WHERE NOT failed AND claims > 0 AND supported < claims"
 
 
+def clean_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by their claims: caught if any is unsupported, fit to calibrate on if there are claims and all are supported."""
+    c = VERDICTS.df(spark)
+    caught = F.exists("verdicts", lambda v: v == "unsupported")
+    return c.select("id", caught.alias("caught"), (~F.col("failed") & (F.size("verdicts") > 0) & F.forall("verdicts", lambda v: v == "supported")).alias("clean"))
+
+
+CLEAN_BASE = f"SELECT id, list_contains(verdicts, 'unsupported') AS caught, NOT failed AND len(verdicts) > 0 AND len(list_filter(verdicts, lambda v: v <> 'supported')) = 0 AS clean FROM {VERDICTS.sql()}"
+
+
 def named_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least score of what a verdict names and the context has; null if it has none."""
     return MATCHED.df(spark).groupBy("id").agg(F.min(F.when(F.col("rank") >= 0, F.col("score"))).alias("named"))
@@ -192,6 +203,6 @@ SELECT item_id, round(CASE WHEN len(q) = 0 OR len(h) = 0 THEN 0 ELSE len(list_in
 
 QUERIES = {
     f.__name__: f
-    for f in (inject_defects, swap_target, citation_catch, citation_calibration, citation_order, citation_accuracy, worst_first, named_score, second_pass_merge, gate_exit, metric_table, query_coverage)
+    for f in (inject_defects, swap_target, citation_catch, citation_calibration, citation_order, citation_accuracy, worst_first, clean_base, named_score, second_pass_merge, gate_exit, metric_table, query_coverage)
 }
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

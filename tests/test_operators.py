@@ -161,6 +161,15 @@ def test_provider_retries_then_falls_back():
     assert len(providers.ask(lambda t: [], ["a"], 2)[0]) == 2
 
 
+def test_rerank_asks_in_batches(spark):
+    df = spark.createDataFrame([(q, f"q{q}", "x" * n) for q in (1, 2) for n in (3, 1, 2)], "id int, question string, doc string")
+    score = lambda qs, ts: [float(len(t)) * (1 if q == "q1" else -1) for q, t in zip(qs, ts, strict=True)]
+    got = providers.rerank(df, "question", "doc", score, "id", 2).orderBy("id", "place").collect()
+    assert [(r.id, len(r.doc)) for r in got] == [(1, 3), (1, 2), (1, 1), (2, 1), (2, 2), (2, 3)]
+    with pytest.raises(Exception, match="scores for"):
+        providers.rerank(df, "question", "doc", lambda qs, ts: [], "id").collect()
+
+
 def test_only_misses_are_asked(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("a",)], "t string")
     cache = spark.sql("select md5(cast('b' as binary)) as k")
