@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, map_arrow
+from .tables import cut, map_arrow, write_shared
 from .textkernel import chunks, mix64, text_buffer
 
 U = np.uint64
@@ -221,22 +221,26 @@ def pruned(probs: DataFrame, max_grams: int) -> DataFrame:
     return kept.drop("r")
 
 
-def _arrays(tab) -> tuple:
-    """Arrays of a model from a pandas frame of lang, n, key, context, shorter, size, p that holds every context and suffix."""
-    langs = sorted(tab["lang"].unique())
+def _arrays(tab: pa.Table) -> tuple:
+    """Arrays of a model from rows of lang, n, key, context, shorter, size, p that hold every context and suffix."""
+    coded = tab.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    code = np.searchsorted(langs, names)[coded.indices.to_numpy()]
+    order = tab.column("n").to_numpy()
     keys, logp, back = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
-    size = int(tab["size"].iloc[0])
+    size = tab.column("size")[0].as_py()
     base = np.zeros(len(langs), np.float64)
-    by = {n: tab[tab["n"] == n] for n in range(1, ORDER + 1)}
     prob: dict[int, np.ndarray] = {}
     weight: dict[int, np.ndarray] = {}
     for n in range(1, ORDER + 1):
-        t = by[n]
-        k, context, shorter = (t[x].to_numpy().view(np.uint64) for x in ("key", "context", "shorter"))
+        t = np.flatnonzero(order == n)
+        k, context, shorter = (tab.column(x).to_numpy()[t].view(np.uint64) for x in ("key", "context", "shorter"))
+        own, lang = tab.column("p").to_numpy()[t], code[t]
         keys[n], first = np.unique(k, return_index=True)
-        row, lang = np.searchsorted(keys[n], k), np.searchsorted(langs, t["lang"].to_numpy().astype(str))
+        row = np.searchsorted(keys[n], k)
         p = np.full((len(keys[n]), len(langs)), np.nan)
-        p[row, lang] = t["p"].to_numpy()
+        p[row, lang] = own
         if n == 1:
             seen = np.isfinite(p)
             base = np.maximum(1 - np.where(seen, p, 0).sum(0), 1e-9) / np.maximum(size - seen.sum(0), 1)
@@ -246,7 +250,7 @@ def _arrays(tab) -> tuple:
             low = prob[n - 1][np.searchsorted(keys[n - 1], shorter), lang]
             at = np.searchsorted(keys[n - 1], context)
             used, shared = np.zeros(prob[n - 1].shape), np.zeros(prob[n - 1].shape)
-            np.add.at(used, (at, lang), t["p"].to_numpy())
+            np.add.at(used, (at, lang), own)
             np.add.at(shared, (at, lang), low)
             weight[n - 1] = np.maximum(1 - used, 1e-9) / np.maximum(1 - shared, 1e-9)
             lower = weight[n - 1][np.searchsorted(keys[n - 1], context[first])] * prob[n - 1][np.searchsorted(keys[n - 1], shorter[first])]
@@ -261,13 +265,13 @@ def fit(docs: DataFrame, may_learn: Column, max_rows: int = 12_000, max_grams: i
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     n_rows = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), max_rows / F.count("*").over(Window.partitionBy()) / F.col("n"))  # one row a language
-    share = n_rows.withColumn("share", share).select(F.col("lang").alias("l"), "share")
+    share = write_shared(n_rows.withColumn("share", share).select(F.col("lang").alias("l"), "share"), "shares")  # so that Spark knows its size
     drawn = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     some = cut(rows.join(share, F.col("lang") == F.col("l")).filter(drawn).select("lang", "text"))
     grams = map_arrow(some, _count, "lang string, n int, key long, context long, shorter long, count long")
     grams = cut(grams.groupBy("lang", "n", "key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count")))
-    tab = pruned(probabilities(grams), max_grams).toPandas()
-    if not len(tab):
+    tab = pruned(probabilities(grams), max_grams).select("lang", "n", "key", "context", "shorter", "size", "p").toArrow()
+    if not tab.num_rows:
         return None
     parts = _arrays(tab)
     flat = Model(*parts, np.zeros(len(parts[0])), np.ones(len(parts[0])), 1.0)
