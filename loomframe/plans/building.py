@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..functions import canon, text
-from ..sources import read
+from ..sources import files, read
 from .parsing import _fold_sql
 
 NUMBERS = table("id int, raw string", (1, "五百七十七"), (2, "577"), (3, "两百"), (4, "十"), (5, "一万二千三百"), (6, "甲"), (7, ""), (8, None), (9, "零"), (10, "一百零三"))
@@ -33,6 +33,10 @@ MADE = table("id string, kind string", ("a", "fabricated_cite"), ("b", "fabricat
 STORE = table("ord int, source string, article_no string", (1, "民法典.md", "第二十三条"), (2, "公司法.md", "第二十三条"), (3, "民法典.md", "第23条"), (4, "公司法.md", None))
 ASKED = table("id int, article_no string, source string", (1, "第二十三条", None), (2, "第二十三条", "公司法.md"), (3, "第23条", "公司法.md"), (4, "第一条", None))
 
+PROMPTS = table("id int, raw string", (1, "---\nmodel: x\n---\n你好 {{q}}"), (2, "no settings\n---\nx\n---\n"), (3, "---\r\na: 1\r\n---\r\n text"), (4, ""), (5, "---\nopen"))
+PREVIOUS = table("corpus string, version int, hash string", ("same", 3, "a"), ("changed", 7, "b"))
+CURRENT = table("corpus string, hash string", ("same", "a"), ("changed", "c"), ("new", "d"))
+
 _B = canon.BUILDER_NUMERALS
 _WS = text.WS
 _TRIMMED = f"'^{_WS}+|{_WS}+$', '', 'g'"
@@ -180,8 +184,38 @@ def lookup_by_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOOKUP_BY_SPELLING = f"SELECT a.id, s.ord FROM {ASKED.sql()} a JOIN {STORE.sql()} s ON s.article_no = a.article_no WHERE a.source IS NULL OR a.source = s.source"
 
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts without their leading block of settings."""
+    return PROMPTS.df(spark).select("id", files.without_front_matter(F.col("raw")).alias("prompt"))
+
+
+FRONT_MATTER = f"SELECT id, trim(regexp_replace(raw, '^---\\r?\\n(?s:.*?)\\r?\\n---\\r?\\n', '')) AS prompt FROM {PROMPTS.sql()}"
+
+
+def manifest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next version of each corpus: one up where its hash changed, 1 at first."""
+    p = PREVIOUS.df(spark)
+    now = CURRENT.df(spark)
+    out = None
+    for name in ("same", "changed", "new"):
+        one = files.next_version(p.filter(F.col("corpus") == name), now.filter(F.col("corpus") == name).select("hash")).select(F.lit(name).alias("corpus"), "version")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+MANIFEST_VERSION = f"SELECT c.corpus, (CASE WHEN p.version IS NULL THEN 1 WHEN p.hash = c.hash THEN p.version ELSE p.version + 1 END)::INTEGER AS version FROM {CURRENT.sql()} c LEFT JOIN {PREVIOUS.sql()} p USING (corpus)"
+
+
+def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as reports show them: three digits, four digits, and rounded to four as a number."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("double") / 7).alias("x"))
+    return li.select("l_orderkey", "l_linenumber", F.format_string("%.3f", "x").alias("three"), F.format_string("%.4f", "x").alias("four"), F.round("x", 4).alias("rounded"))
+
+
+NUMBER_FORMATS = "SELECT l_orderkey, l_linenumber, printf('%.3f', x) AS three, printf('%.4f', x) AS four, round(x, 4) AS rounded FROM (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE / 7 AS x FROM lineitem)"
+
 QUERIES = {
     f.__name__: f
-    for f in (builder_numeral, leading_number, full_width_marks, heading_form, canon_form, canon_compare, truncated_texts, refusal_messages, body_start, tail_trim, case_filters, missing_kind, absent_kinds, lookup_by_spelling)
+    for f in (builder_numeral, leading_number, full_width_marks, heading_form, canon_form, canon_compare, truncated_texts, refusal_messages, body_start, tail_trim, case_filters, missing_kind, absent_kinds, lookup_by_spelling, front_matter, manifest_version, number_formats)
 }
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
