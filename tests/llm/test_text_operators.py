@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and their defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -359,6 +360,37 @@ def test_exception_phrases_do_not_count():
     assert lex.density("a trash can here") == (0.0, 0.0) and lex.density("what trash")[0] > 0
 
 
+def plain_density(lexicon, text):
+    """Summed weights of strong and other terms per 100 words, word by word and term by term."""
+    folded = toxicity.fold(text)
+    inside = {k for e in lexicon.exceptions for a in range(len(folded)) if folded.startswith(e, a) for k in range(a + 1, a + len(e) - 1)}
+    starts = [k + 1 for k in range(len(folded) - 1) if folded[k] == " " and folded[k + 1] != " "]
+    hits = [x for k in starts if k not in inside for t, x in lexicon.weights.items() if folded.startswith(t, k)]
+    strong = sum(x for x in hits if x >= toxicity.STRONG)
+    n = max(1, len(folded.split()))
+    return 100 * strong / n, 100 * (sum(hits) - strong) / n
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(12)
+    vocab = ["trash", "trashy", "can", "clown", "fish", "vile", "vilest", "Idiot", "proof", "id1ot", "сlоwn", "plain", "words", "here", "tra$h", "ünïque", "über"]
+    lexicon = toxicity.Lexicon({"tras": 2.5, "clow": 4.5, "vile": 6.0, "idio": 1.75, "idiot": 5.0})
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 25))) + rng.choice(("", ".", "!!", " 😀")) for _ in range(200)] + ["", None, "trash can trash can", "a trash  can-trash"]
+    for t in texts:
+        assert lexicon.density(t) == pytest.approx(plain_density(lexicon, t))
+    rows = [(" ".join(rng.choice(vocab[:6] if i % 3 == 0 else vocab[6:]) for _ in range(12)) + f" u{i}", int(i % 3 == 0)) for i in range(90)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")).weights
+    counts = {y: (sum(k == y for _, k in rows), sum(len(t.split()) for t, k in rows if k == y)) for y in (0, 1)}
+    seen = {y: [toxicity.stems(toxicity.fold(t)) for t, k in rows if k == y] for y in (0, 1)}
+    for term, weight in got.items():
+        c1, c0 = (sum(s[term] for s in seen[y]) for y in (1, 0))
+        assert weight == pytest.approx(math.log((c1 + 0.5) / (counts[1][1] + 1)) - math.log((c0 + 0.5) / (counts[0][1] + 1)))
+        assert sum(term in s for s in seen[1]) >= 3
+    assert not any(a != b and a.startswith(b) for a in got for b in got)
+    everything = {x for s in seen[1] for x in s if sum(x in t for t in seen[1]) >= 10 and not any(x in t for t in seen[0])}
+    assert all(any(x.startswith(t) or t.startswith(x) for t in got) for x in everything)
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     make = {"aa": "abcde", "bb": "vwxyz"}
