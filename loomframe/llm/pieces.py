@@ -7,7 +7,7 @@
 * the *fallback*: for each character that no piece has, arcs that give its bytes (or the unknown piece) at a cost.
 
 ``Transducer.compose`` walks the machines along an input and gives the arcs of their
-composition, a lattice of (from, to, piece, cost); ``shortest_path`` is its best path in the
+composition, a lattice of places and pieces with their ``cost``; ``shortest_path`` is its best path in the
 tropical semiring (costs are added along a path, the least of all paths counts).
 
 * ``unigram``: an arc costs minus its piece's score.
@@ -81,6 +81,7 @@ class Transducer:
         self._whole = re.compile("(" + "|".join(re.escape(p) for p in sorted(self._user, key=lambda p: (-len(p), p))) + ")") if user else None
         self._compile()
         self._follows: dict[int, bool] = {}
+        self._made: dict[int, bool] = {}
         self._runs: dict[int, list[tuple[float, str, str]]] = {}
         chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
         self._code = {c: i + 1 for i, c in enumerate(chars)}
@@ -126,18 +127,21 @@ class Transducer:
             return [self.byte_ids[b] for b in c.encode()]
         return [] if self.unknown is None else [self.unknown]
 
-    def compose(self, s: str, start: int) -> Iterator[tuple[int, int, float]]:
-        """Arcs of the lattice that leave a place: where they lead, their piece (-2: fallback) and their cost."""
-        state, arcs, final = 0, self.arcs, self.final
+    def compose(self, s: str, start: int) -> list[tuple[int, int]]:
+        """Arcs of the lattice that leave a place: where they lead and their piece (-2: fallback)."""
+        state, arcs, final, out = 0, self.arcs, self.final, []
         for to in range(start, len(s)):
-            state = arcs[state].get(s[to], 0)
-            if not state:
+            state = arcs[state].get(s[to])
+            if state is None:
                 break
-            p = final[state]
-            if p >= 0:
-                yield to + 1, p, -self.pieces[p][1]
-        if s[start] not in self.ids:
-            yield start + 1, -2, self.fallback_cost
+            if final[state] >= 0:
+                out.append((to + 1, final[state]))
+        if not out or out[0][0] > start + 1:
+            out.append((start + 1, -2))
+        return out
+
+    def cost(self, p: int) -> float:
+        return self.fallback_cost if p == -2 else -self.pieces[p][1]
 
     def _run(self, p: int) -> list[tuple[float, str, str]]:
         """The merges that make a piece: score, then the first and the last part after each."""
@@ -156,8 +160,11 @@ class Transducer:
 
     def made(self, p: int) -> bool:
         """Whether merging a piece's own characters gives it."""
-        run = self._run(p)
-        return len(self.pieces[p][0]) == 1 or bool(run and run[-1][1] == self.pieces[p][0])
+        got = self._made.get(p)
+        if got is None:
+            run = self._run(p)
+            got = self._made[p] = len(self.pieces[p][0]) == 1 or bool(run and run[-1][1] == self.pieces[p][0])
+        return got
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging the characters of two pieces gives the two: no merge across is ever the next one."""
@@ -185,18 +192,45 @@ class Transducer:
         self._follows[key] = got = got and self.made(a) and self.made(b)
         return got
 
-    def shortest_path(self, s: str) -> list[int]:
-        """Ids of a normalised stretch."""
-        n, bpe = len(s), self.kind == "bpe"
-        cost, last, back = [0.0] + [INFINITE] * n, [-1] * (n + 1), [-1] * (n + 1)
+    def _lightest(self, s: str) -> tuple[list[int], list[int]]:
+        """Of each place the piece that leads there on the best path, and where it comes from."""
+        n = len(s)
+        best, last, back = [0.0] + [INFINITE] * n, [-1] * (n + 1), [-1] * (n + 1)
         for i in range(n):
-            if cost[i] == INFINITE:
+            if best[i] < INFINITE:
+                for to, p in self.compose(s, i):
+                    c = best[i] + self.cost(p)
+                    if c < best[to]:
+                        best[to], last[to], back[to] = c, p, i
+        return last, back
+
+    def _finite(self, s: str) -> tuple[list[int], list[int]]:
+        """As ``_lightest`` where an arc costs nothing or is infinite: of the arcs into a place at most one is finite."""
+        n, known = len(s), self._follows
+        last, back = [-1] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            a = last[i]
+            if i and back[i] < 0:
                 continue
-            for to, p, c in self.compose(s, i):
-                if bpe:  # of the arcs into a place at most one is finite
-                    c = 0.0 if p == -2 or (self.follows(last[i], p) if last[i] >= 0 else self.made(p)) else INFINITE
-                if cost[i] + c < cost[to]:
-                    cost[to], last[to], back[to] = cost[i] + c, p, i
+            for to, p in self.compose(s, i):
+                if back[to] >= 0:
+                    continue
+                if p == -2:
+                    ok = True
+                elif a < 0:
+                    ok = self.made(p)
+                else:
+                    ok = known.get(a << 20 | p)
+                    if ok is None:
+                        ok = self.follows(a, p)
+                if ok:
+                    last[to], back[to] = p, i
+        return last, back
+
+    def shortest_path(self, s: str) -> list[int]:
+        """Ids of a normalised stretch."""
+        n = len(s)
+        last, back = (self._finite if self.kind == "bpe" else self._lightest)(s)
         out: list[int] = []
         i = n
         while i:
