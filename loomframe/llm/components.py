@@ -32,15 +32,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """(node, component) of every node with a link to another; component is the smallest node reachable.
 
-    Links may run either way, repeat, or join a node to itself (those are ignored); null ends are ignored.
+    ``parts``: files of each round, where the links are few.  Links may run either way, repeat, or join a node to itself (those are ignored); null ends are ignored.
     """
     e = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    e, before = cut(e), None
+    e, before = cut(e, parts), None
     while True:
-        e = cut(_small_star(_large_star(e)).filter("a <> b").distinct())
+        e = cut(_small_star(_large_star(e)).filter("a <> b").distinct(), parts)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

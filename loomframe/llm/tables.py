@@ -32,13 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def cut(df: DataFrame, few: bool = False) -> DataFrame:
+def cut(df: DataFrame, parts: int | None = None, deal: bool = False) -> DataFrame:
     """Materialise in the shared folder and forget the lineage; survives lost executors.
 
-    ``few``: a small table from many tasks is gathered into files of the advisory size first.
+    ``parts``: a table of a few numbers a document is written as that many files; ``deal`` where its last stage should keep its own number of tasks.
     """
     shared_dir(df.sparkSession)
-    return (df.hint("rebalance") if few else df).checkpoint(eager=True)
+    if parts is not None:
+        df = df.repartition(parts) if deal else df.coalesce(parts)
+    return df.checkpoint(eager=True)
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -90,17 +92,27 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(lean(fn), schema)
 
 
-#: Bytes of input for each shuffle bucket, where that makes more buckets than the session's shuffle partitions.
-BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
+#: Bytes of input for each shuffle bucket, where that makes more buckets than the session's shuffle partitions, and for each file of a table of a few numbers a document.
+BUCKET_BYTES, MOST_BUCKETS, FILE_BYTES = 64 << 20, 100_000, 512 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Bytes of a table as Spark estimates them before it runs; none if it has no estimate."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
 
 
 def bucket_count(spark: SparkSession, df: DataFrame | None = None) -> int:
-    """Shuffle buckets for what is made of ``df``: they follow its bytes as Spark estimates them, not the session alone."""
+    """Shuffle buckets for what is made of ``df``: they follow its bytes, not the session alone."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df is None:
-        return n
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(n, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < 1 << 60 else n  # beyond that it is not an estimate
+    size = None if df is None else estimated_bytes(df)
+    return n if size is None else max(n, min(MOST_BUCKETS, size // BUCKET_BYTES))
+
+
+def few_parts(spark: SparkSession, df: DataFrame) -> int:
+    """Files for tables of a few numbers for each row of ``df``, which has texts or vectors: about a hundredth of its bytes."""
+    size = estimated_bytes(df)
+    return min(bucket_count(spark, df), 4 if size is None else max(4, -(-size // FILE_BYTES)))
 
 
 def fold_of(col: str, folds: int):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import bucket_count, cut, map_arrow
+from .tables import bucket_count, cut, few_parts, map_arrow
 
 SAMPLE_ROWS = 20_000
 BLOCK, LEAST_BLOCKS, TILE, LEAD, BOX = 16_384, 6, 512, 8, 32
@@ -296,9 +296,10 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         links = met if links is None else links.unionByName(met)
     if links is None:
         return vectors.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    links = cut(links, few=True)
+    few = few_parts(spark, vectors)
+    links = cut(links, few, deal=True)
     counts = links.groupBy("a").agg(F.sum("n").alias("more"))
-    comp = components(links).withColumnRenamed("component", "c")
+    comp = components(links, parts=few).withColumnRenamed("component", "c")
     per = classes.select("h", "k", "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     per = per.select("h", "k", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("c", "rep").alias("component_id"))
     out = rows.select("id", "h", "k").join(per, ["h", "k"], "left")
