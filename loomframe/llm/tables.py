@@ -97,8 +97,9 @@ BUCKET_BYTES, MOST_BUCKETS, FILE_BYTES = 64 << 20, 100_000, 512 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Bytes of a table as Spark estimates them before it runs; none if it has no estimate."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the tables that ``df`` is made of, as Spark knows them before it runs; none if it does not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return size if size < 1 << 60 else None
 
 

@@ -80,6 +80,22 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_ngram_join_of_dealt_lists(spark, monkeypatch):
+    """Long lists in several buckets and parts give the same classes."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(50)]
+    rows = [(i, " ".join(f"z{i}" if k == rng.randrange(50) else w for k, w in enumerate(base))) for i in range(120)] + corpus(5)[:30]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = closure(list(sets), links)
+    monkeypatch.setattr(ngramjoin, "SAMPLE", 2)
+    monkeypatch.setattr(ngramjoin, "LIST", 10)
+    monkeypatch.setattr(ngramjoin, "HOT", 2)
+    got = {r.doc_id: r.component_id for r in ngramjoin.join(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(frame(spark, [(1, None)]).limit(0)).count() == 0
     assert [tuple(r) for r in ngramjoin.join(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
