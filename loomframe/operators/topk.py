@@ -100,10 +100,14 @@ def pinned(queries: DataFrame, items: DataFrame) -> DataFrame:
     return hit.filter(ok).select("query_id", "ord", score.alias("score")).dropDuplicates(["query_id", "ord"])
 
 
-def hybrid(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, ord, score, exact): pinned items first, then the rest, each by score and ord."""
+def hybrid(queries: DataFrame, items: DataFrame, k: int = 5, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, ord, score, exact): pinned items first, then the rest, each by score and ord.
+
+    ``found``: what ``scores`` gave for these, for ``k`` or more, so that it is not computed again.
+    """
     pins = pinned(queries, items)
-    rest = scores(queries, items, k).select("query_id", "ord", "score").join(pins.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
+    best = scores(queries, items, k) if found is None else found.filter(F.col("pool_rank") <= k)
+    rest = best.select("query_id", "ord", "score").join(pins.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
     both = pins.withColumn("exact", F.lit(True)).unionByName(rest.withColumn("exact", F.lit(False)))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "ord")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "ord", "score", "exact")

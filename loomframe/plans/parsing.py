@@ -161,14 +161,19 @@ BIGRAMS = (
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character-pair similarity of each benchmark passage to the passage before it."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", text.char_pairs(F.col("text"), text.PAIRS_PLAIN).alias("g"))
-    before = b.select((F.col("item_id") + 1).alias("item_id"), F.col("g").alias("h"))
-    return b.join(before, "item_id").select("item_id", F.round(text.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
-
-
-JACCARD_PAIRS = f"""WITH s AS MATERIALIZED (SELECT item_id, {strip_sql('text', text.PAIRS_PLAIN)} AS t FROM benchmark), b AS MATERIALIZED (SELECT item_id, {pairs_sql('t')} AS g FROM s)
-SELECT b.item_id, round(CASE WHEN len(b.g) = 0 OR len(p.g) = 0 THEN 0 ELSE len(list_intersect(b.g, p.g))::DOUBLE / len(list_distinct(list_concat(b.g, p.g))) END, 6) AS jaccard FROM b JOIN b p ON p.item_id + 1 = b.item_id"""
+    """Of every 20th benchmark passage the most similar other one by character pairs, among those that share one."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", text.char_pairs(F.col("text"), text.PAIRS_PLAIN).alias("g")).withColumn("n", F.size("g"))
+    each = b.select("item_id", "n", F.explode("g").alias("pair"))
+    asked = each.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("n").alias("m"), "pair")
+    both = asked.join(each, "pair").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
+    both = both.withColumn("jaccard", F.round(F.col("c") / (F.col("m") + F.col("n") - F.col("c")), 6))
+    best = F.max_by(F.struct("item_id", "jaccard"), F.struct("jaccard", -F.col("item_id")))
+    return both.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.item_id", "b.jaccard")
+
+
+JACCARD_PAIRS = f"""WITH s AS MATERIALIZED (SELECT item_id, {strip_sql('text', text.PAIRS_PLAIN)} AS t FROM benchmark), b AS MATERIALIZED (SELECT item_id, {pairs_sql('t')} AS g FROM s),
+j AS (SELECT q.item_id AS query_id, b.item_id, len(list_intersect(q.g, b.g)) AS c, round(len(list_intersect(q.g, b.g))::DOUBLE / len(list_distinct(list_concat(q.g, b.g))), 6) AS jaccard FROM b q JOIN b ON q.item_id <> b.item_id WHERE q.item_id % 20 = 0)
+SELECT query_id, item_id, jaccard FROM j WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, item_id) = 1"""
 
 QUERIES = {f.__name__: f for f in (cn_numeral, norm_source_name, extract_refs, parse_query, extract_citations, content_hash, bigrams, jaccard_pairs)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

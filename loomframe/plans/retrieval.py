@@ -65,7 +65,8 @@ HYBRID_TOPK = f"""WITH {_PINS} SELECT query_id, row_number() OVER w AS rank, vec
 
 def _ranked(spark: SparkSession, sf_dir: str, named: int) -> tuple[DataFrame, DataFrame]:
     q, x = questions(spark, sf_dir, named), items(spark, sf_dir)
-    return topk.hybrid(q, x, K), topk.scores(q, x, K + 1)
+    pool = topk.scores(q, x, K + 1)
+    return topk.hybrid(q, x, K, pool), pool
 
 
 def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
