@@ -10,7 +10,7 @@ from .tables import fold_of, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join(table(spark, sf_dir, "documents"))
+    return ngramjoin.join(table(spark, sf_dir, "documents"), links=True)
 
 
 NGRAM_JOIN_SQL = f"""
@@ -21,7 +21,7 @@ x AS MATERIALIZED (SELECT doc_id, hash(g) AS g, count(*) OVER (PARTITION BY doc_
 s AS (SELECT doc_id, coalesce(max(n), 0) AS n FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id),
 link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n"""
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id, (SELECT count(*) FROM link WHERE link.a = s.doc_id)::BIGINT AS n_links FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n"""
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

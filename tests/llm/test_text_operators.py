@@ -71,13 +71,14 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
         rows.append((200 + i, " ".join(w)))
     monkeypatch.setattr(ngramjoin, "SMALL", 16)
     monkeypatch.setattr(ngramjoin, "BLOCK_TOKENS", 1500)
-    got = {r.doc_id: r for r in ngramjoin.join(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in ngramjoin.join(frame(spark, rows), links=True).collect()}
     sets = {i: shingles(t) for i, t in rows}
     ids = [i for i, _ in rows]
     links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = closure(ids, links)
     assert {i: r.component_id for i, r in got.items()} == want
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in links) for i in ids}
 
 
 def test_ngram_join_of_dealt_lists(spark, monkeypatch):
