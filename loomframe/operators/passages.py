@@ -96,5 +96,5 @@ def holders(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, it
         hit = d.mapInArrow(_scan(held, space), "doc long, item long, found string")
         found = hit if found is None else found.unionByName(hit)
     same = found.join(p, "item").filter(F.col("found") == F.col("p")).select("item", "doc")
-    everywhere = p.filter("p = ''").select("item").crossJoin(d.select("doc"))  # only if a passage is empty
-    return same.unionByName(everywhere)
+    empty = p.filter("p = ''").select("item")
+    return same.unionByName(empty.crossJoin(d.select("doc"))) if empty.head(1) else same

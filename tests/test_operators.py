@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.functions import text
-from loomframe.operators import caches, evalkit, folds, providers, topk
+from loomframe.operators import caches, evalkit, folds, passages, providers, topk
 from loomframe.sources import files
 from loomframe.streaming import jobs
 
@@ -235,6 +235,24 @@ def test_no_corpus_is_an_error(spark, tmp_path):
         files.markdown(spark, str(tmp_path)).count()
 
 
+def test_passages_of_any_length(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("ab  中😀\n") for _ in range(n))
+    docs = [(i, make(rng.randrange(0, 400))) for i in range(60)] + [(90, None), (91, "")]
+    whole = [t for _, t in docs if t]
+    items = [(i, rng.choice(whole)[rng.randrange(40) :][: rng.randrange(0, 60)]) for i in range(80)] + [(80, None), (81, " "), (82, make(500)), (83, whole[0])]
+    strip = lambda t: "".join(t.split())
+    want = {(i, d) for i, p in items if p is not None for d, t in docs if t is not None and strip(p) in strip(t)}
+    d, b = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, p string")
+    for block in (2_000_000, 30):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = [(r.item, r.doc) for r in passages.holders(d, b, "d", "t", "i", "p").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert passages.holders(d, b.limit(0), "d", "t", "i", "p").count() == 0
+
+
 def test_cache_store_swaps(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert caches.read(spark, path, "k string").count() == 0
