@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, linededup, media, mixing, ngramjoin, pieces, substrings, toxicity, vectors
-from .tables import fold_of, table
+from .tables import fold_of, table, write_shared
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,8 @@ SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     lines = pages.select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.visible_lines(F.col("html")).alias("text"))
-    return linededup.drop_boilerplate(lines, ratio=0.2, keep=("page_id",))
+    # counted first and cut down then: written out, so that the markup is taken off once
+    return linededup.drop_boilerplate(write_shared(lines, "lines"), ratio=0.2, keep=("page_id",))
 
 
 def _line_dedup_sql() -> str:
