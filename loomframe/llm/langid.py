@@ -87,14 +87,22 @@ def prepared(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[keep], doc[keep]
 
 
+def all_keys(c: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """For n = 0 .. order the keys of the n characters that end at each place (spaces stand before the first; none for 0)."""
+    salt, base = U(0x5851F42D4C957F2D), U(0x9E3779B97F4A7C15)
+    m = mix64(np.concatenate((np.full(order - 1, SPACE), c)).astype(np.uint64) + salt)
+    raw, power, out = np.zeros(len(c), np.uint64), U(1), [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        for n in range(1, order + 1):
+            raw = raw + m[order - n : order - n + len(c)] * power
+            power = power * base
+            out.append(mix64(raw ^ U(n)))
+    return out
+
+
 def gram_keys(c: np.ndarray, n: int) -> np.ndarray:
-    """Key of the n characters that end at each place (a space stands before the first)."""
-    m = mix64(c.astype(np.uint64) + U(0x5851F42D4C957F2D))
-    padded = np.concatenate((np.full(n - 1, mix64(np.array([SPACE], np.uint64) + U(0x5851F42D4C957F2D))[0]), m))
-    out = np.zeros(len(c), np.uint64)
-    for i in range(n):
-        out = out * U(0x9E3779B97F4A7C15) + padded[i : i + len(c)]
-    return mix64(out ^ U(n))
+    """Key of the n characters that end at each place."""
+    return all_keys(c, n)[n]
 
 
 def _count(batches):
@@ -105,16 +113,17 @@ def _count(batches):
             buf, off = text_buffer(rb.column("text").filter(pa.array(langs == name)))
             for a, b in chunks(off, 4 << 20):
                 c, doc = prepared(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                keys = all_keys(c)
                 first = np.concatenate(([True], doc[1:] != doc[:-1]))
                 for n in range(1, ORDER + 1):
-                    key = gram_keys(c, n)
+                    key = keys[n]
                     whole = np.ones(len(c), bool)
                     for k in range(n - 1):  # n-grams that reach into the document before do not count
                         whole[k:] &= ~first[: len(first) - k]
                     key, at, count = np.unique(key[whole], return_index=True, return_counts=True)
                     at = np.flatnonzero(whole)[at]
-                    context = gram_keys(c, n - 1)[at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-                    shorter = gram_keys(c, n - 1)[at] if n > 1 else np.zeros(len(at), np.uint64)
+                    context = keys[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
+                    shorter = keys[n - 1][at] if n > 1 else np.zeros(len(at), np.uint64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, context, shorter)), pa.array(count.astype(np.int64))],
                         ["lang", "n", "key", "context", "shorter", "count"],
@@ -143,10 +152,10 @@ class Model:
             e = min(len(c), s + step)
             start = max(0, int(place[s]) - ORDER)
             part, at = padded[start : int(place[e - 1]) + 1], place[s:e] - start
-            lp = np.zeros((e - s, len(self.langs)), np.float32)
+            keys, lp = all_keys(part), np.zeros((e - s, len(self.langs)), np.float32)
             left = np.arange(e - s)
             for n in range(ORDER, 0, -1):
-                key = gram_keys(part, n)[at[left]]
+                key = keys[n][at[left]]
                 i = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
                 hit = self.keys[n][i] == key
                 lp[left[hit]] += self.logp[n][i[hit]]
@@ -154,7 +163,7 @@ class Model:
                 if not len(left):
                     break
                 if n > 1:  # weight of the context for what it has not seen
-                    ctx = gram_keys(part, n - 1)[at[left] - 1]
+                    ctx = keys[n - 1][at[left] - 1]
                     j = np.minimum(np.searchsorted(self.keys[n - 1], ctx), len(self.keys[n - 1]) - 1)
                     known = self.keys[n - 1][j] == ctx
                     lp[left[known]] += self.back[n - 1][j[known]]
