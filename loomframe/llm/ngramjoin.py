@@ -32,7 +32,9 @@ grows with the square of a component's different sets; the components alone do n
 
 Scale: postings are dealt by token in compressed arrays, in buckets that follow the bytes of the input; lists that the
 sample shows as very long are dealt by their nodes as well, each part with a head of its own and the heads in a list again; clusters are cut into
-blocks of bounded size; verification ships texts to salted head keys and streams past one set at a time.
+blocks of bounded size; verification ships texts to salted head keys and streams past one set at a time.  Where the
+texts of a step are more than ``SHIPPED`` of the input, they are shipped in rounds; the shuffle files of a finished step or round are deleted
+before the next begins, so the disk follows the largest step and not their sum.
 Broadcast are at most ``FREQUENT`` frequent tokens and a Bloom filter of 128 MB at most.
 
 Hashes: a shingle is 48 bits, a node 64 bits of its whole set.  A pair is compared by its shingles' hashes, so one pair in
@@ -47,7 +49,8 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,7 @@ from pyspark.sql import functions as F
 
 from . import blobs, bloom
 from .components import components
-from .tables import bucket_count, cut, few_parts, map_arrow, write_shared
+from .tables import bucket_count, cut, estimated_bytes, few_parts, free, map_arrow, write_shared
 from .textkernel import FOLD_CASE, chunks, gram_hashes, mix64, sequence_hash, spans, text_buffer, word_hashes, words
 
 U = np.uint64
@@ -72,6 +75,8 @@ BATCH_BYTES = 8 << 20
 SMALL = 64
 #: Nodes of a posting list that one task looks at; tokens from this rank on are dealt by their nodes as well.
 LIST, HOT = 50_000, 15
+#: Bytes of text on disk for each token, and texts that are shipped at once, as a share of the input's bytes.  They are dealt twice, so twice that is on disk.
+TOKEN_BYTES, SHIPPED = 3.5, 0.5
 
 
 class Frequent:
@@ -537,22 +542,44 @@ def texts_of(docs: DataFrame, ship: DataFrame, id_col: str, text_col: str) -> Da
     return texts.join(ship, F.col("id") == F.col("doc"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, holder: DataFrame, id_col: str, text_col: str, n: int, t: tuple[int, int], few: int | None = None) -> DataFrame:
+def rounds(docs: DataFrame, ship: DataFrame) -> int:
+    """Into how many parts ``ship`` (with the ``size`` of each text) is cut so that the texts of one are at most ``SHIPPED`` of the input."""
+    there = estimated_bytes(docs)
+    if not there:
+        return 1
+    return max(1, -(-int((ship.agg(F.sum("size")).first()[0] or 0) * TOKEN_BYTES) // max(int(there * SHIPPED), 1)))
+
+
+def in_rounds(docs: DataFrame, ship: DataFrame, key: str, few: int, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is ``made`` of all of ``ship``, part after part: rows of equal ``key`` stay together, and a part's texts leave the disk before the next part's are shipped."""
+    spark, n, out = docs.sparkSession, rounds(docs, ship), []
+    for i in range(n):
+        out.append(cut(made(ship if n == 1 else ship.filter(F.pmod(F.xxhash64(F.col(key), F.lit("round")), F.lit(n)) == i)), few, deal=True))
+        free(spark)
+    return reduce(DataFrame.unionByName, out)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, holder: DataFrame, id_col: str, text_col: str, n: int, t: tuple[int, int], few: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough, with sizes of intersection and union.
 
-    ``holder``: node, doc (one document of each node).  The texts of the nodes of
+    ``holder``: node, doc (one document of each node), size.  The texts of the nodes of
     ``a`` go to the keys of their ``b``; a key with many is salted.
     """
     spark = docs.sparkSession
     pairs = cut(pairs.select("a", "b"), few)
+    free(spark)
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     member = pairs.join(salts, "b").select(F.col("a").alias("s"), F.col("b").alias("dest"), F.pmod(F.xxhash64("a"), F.col("salts").cast("long")).cast("int").alias("salt"))
     own = salts.select(F.col("b").alias("s"), F.col("b").alias("dest"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    ship = cut(member.unionByName(own).join(holder, F.col("s") == F.col("node")).select("doc", "s", "dest", "salt"), few)
-    sent = texts_of(docs, ship, id_col, text_col).select("s", "dest", "salt", "text")
+    ship = cut(member.unionByName(own).join(holder, F.col("s") == F.col("node")).select("doc", "s", "dest", "salt", "size"), few)
     parts = bucket_count(spark, docs)
-    dealt = sent.repartition(parts, "dest", "salt").sortWithinPartitions("dest", "salt", (F.col("s") != F.col("dest")))
-    return map_arrow(dealt, _verify(n, t), "a long, b long, inter long, uni long")
+
+    def made(some: DataFrame) -> DataFrame:
+        sent = texts_of(docs, some, id_col, text_col).select("s", "dest", "salt", "text")
+        dealt = sent.repartition(parts, "dest", "salt").sortWithinPartitions("dest", "salt", (F.col("s") != F.col("dest")))
+        return map_arrow(dealt, _verify(n, t), "a long, b long, inter long, uni long")
+
+    return in_rounds(docs, ship, "dest", few, made)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (75, 100), links: bool = False) -> DataFrame:
@@ -566,10 +593,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     # rows with a null id have no postings: no pair needs a text that no id leads to
     found = map_arrow(docs.filter(F.col(id_col).isNotNull()).select(text_col), _postings(text_col, n, t, buckets, frequent), blobs.SCHEMA)
     postings = write_shared(map_arrow(blobs.deal(found, buckets), _shared_postings(frequent), POSTING), "postings")
+    free(spark)
 
     heads = map_arrow(_lists(postings, LIST).repartition(buckets, "list").sortWithinPartitions("list", F.desc("weight"), "node"), _heads(t), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
     first = heads.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    near = cut(verify(first, docs, holder, id_col, text_col, n, t, few), few, deal=True)
+    near = verify(first, docs, holder, id_col, text_col, n, t, few)
     comp = cut(components(near, parts=few).withColumnRenamed("node", "v"), few)
 
     # nodes of long lists: clusters, compared block by block
@@ -583,16 +611,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     blocks = members.groupBy(F.col("cluster").alias("cl")).agg(F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("blocks"), (F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed")
     members = members.join(blocks, F.col("cluster") == F.col("cl")).withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ship = cut(members.select("doc", F.col("u").alias("s"), "comp", "block", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("g")), few)
-    dense = texts_of(docs, ship, id_col, text_col).select("g", "s", "comp", "block", "text").repartition(buckets, "g").sortWithinPartitions("g", "s")
-    dense = cut(map_arrow(dense, _blocks(n, t), "a long, b long"), few, deal=True)
+    ship = cut(members.select("doc", F.col("u").alias("s"), "comp", "block", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "size"), few)
+
+    def met(some: DataFrame) -> DataFrame:
+        sent = texts_of(docs, some, id_col, text_col).select("g", "s", "comp", "block", "text")
+        return map_arrow(sent.repartition(buckets, "g").sortWithinPartitions("g", "s"), _blocks(n, t), "a long, b long")
+
+    dense = in_rounds(docs, ship, "g", few, met)
 
     # short lists: pairs of different components
     told = postings.filter(F.col("df") <= SMALL).join(comp, F.col("node") == F.col("v"), "left").join(cluster, F.col("node") == F.col("u"), "left").select(
         "token", "node", "size", "demand", F.coalesce("component", "node").alias("comp"), F.coalesce("cluster", "node").alias("cluster"))
     across = told.repartition(buckets, "token").sortWithinPartitions("token", "node")
     pairs = map_arrow(across, _across(t), "a long, b long, c long, d long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("d").alias("d")).filter("c >= d")
-    more = cut(verify(pairs, docs, holder, id_col, text_col, n, t, few), few, deal=True)
+    more = verify(pairs, docs, holder, id_col, text_col, n, t, few)
 
     final = components(near.select("a", "b").unionByName(more.select("a", "b")).unionByName(dense), parts=few)
     of_node = holder.join(final.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select("node", "doc", "size", F.coalesce("component", "node").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +52,12 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver forget finished steps now: only then does Spark delete their shuffle files, on all executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete the tables that this application wrote.  Results that are not yet read need them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomframe-{spark.sparkContext.applicationId}")

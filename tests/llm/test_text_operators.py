@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.llm import components, langid, licenses, linededup, media, mixing, ngramjoin, pieces, substrings, textkernel, toxicity
+from loomframe.llm import components, langid, licenses, linededup, media, mixing, ngramjoin, pieces, substrings, tables, textkernel, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, node string, h string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,6 +98,48 @@ def test_ngram_join_of_dealt_lists(spark, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_ships_texts_in_rounds(spark, monkeypatch, tmp_path):
+    """No step ships more than a share of the input at once, and the rounds together give all links."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(len(rows) + k, " ".join(f"z{g}x{k}" if i == rng.randrange(60) else w for i, w in enumerate(base))) for k in range(rng.choice((1, 2, 5)))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    shipped, texts_of = [], ngramjoin.texts_of
+
+    def recorded(docs, ship, *names):
+        shipped.append(ship.agg({"size": "sum"}).first()[0] or 0)
+        return texts_of(docs, ship, *names)
+
+    monkeypatch.setattr(ngramjoin, "texts_of", recorded)
+    monkeypatch.setattr(ngramjoin, "SHIPPED", 0.2)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngramjoin.join(docs, links=True).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = closure(list(sets), links)
+    assert got == {i: (want[i], sum(i in p for p in links)) for i in sets}
+    at_once = max(shipped) * ngramjoin.TOKEN_BYTES / ngramjoin.estimated_bytes(docs)
+    assert len(shipped) > 4 and at_once < 2 * 0.2  # shares of a round are dealt by a hash
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """The shuffles of a written step are deleted at once, not when the driver happens to collect garbage."""
+
+    def held():
+        return set(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keys().mkString(" ").split())
+
+    before = held()
+    tables.write_shared(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(3, "k"), "free")
+    assert held() - before
+    tables.free(spark)
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(frame(spark, [(1, None)]).limit(0)).count() == 0
     assert [tuple(r) for r in ngramjoin.join(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
