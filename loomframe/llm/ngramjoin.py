@@ -492,9 +492,13 @@ def link_counts(docs: DataFrame, every: DataFrame, of_node: DataFrame, id_col: s
     groups = member.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("many"), F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("blocks")).filter("many > 1")
     m = member.join(groups, F.col("component") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ship = cut(m.select("doc", F.col("node").alias("s"), "times", "block", (F.col("block") == F.col("other")).alias("own"), F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("g")), few)
-    sent = texts_of(docs, ship, id_col, text_col).select("g", "s", "times", "block", "own", "text").repartition(buckets, "g").sortWithinPartitions("g", "s")
-    found = map_arrow(sent, _count_links(n, t), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    ship = cut(m.select("doc", F.col("node").alias("s"), "times", "block", (F.col("block") == F.col("other")).alias("own"), F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "size"), few)
+
+    def counted(some: DataFrame) -> DataFrame:
+        sent = texts_of(docs, some, id_col, text_col).select("g", "s", "times", "block", "own", "text")
+        return map_arrow(sent.repartition(buckets, "g").sortWithinPartitions("g", "s"), _count_links(n, t), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+    found = in_rounds(docs, ship, "g", few, counted).groupBy("s").agg(F.sum("n").alias("n"))
     return times.join(found, F.col("node") == F.col("s"), "left").select("node", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
 
 
