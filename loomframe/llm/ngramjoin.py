@@ -2,14 +2,14 @@
 
 A document is the set of its 5-word shingles; two link when their Jaccard
 similarity is at least ``threshold`` (0.75).  All tokens have one global order:
-frequent ones, as estimated from a sample of documents, stand last.  Documents
+frequent ones, as counted over all documents, stand last.  Documents
 with equal sets are one node throughout, so exact copies are never paired.
 
 Prefixes.  A node x with n tokens needs at least a = ceil(t n) of them in any
 partner.  If x keeps its first n - a + l tokens and y likewise with its own l,
 a linked pair shares at least min(l_x, l_y) kept tokens.  Each node chooses its
 l by estimated cost: a longer prefix adds postings, but demands more matches, so
-fewer candidates are verified.  Sample frequencies only steer this choice and
+fewer candidates are verified.  The counts only steer this choice and
 the order; no link depends on them.
 
 Links are then found over the postings that occur in two nodes or more:
@@ -31,11 +31,12 @@ each component are compared block by block, and one number for each set and pair
 grows with the square of a component's different sets; the components alone do not need it.
 
 Scale: postings are dealt by token in compressed arrays, in buckets that follow the bytes of the input; lists that the
-sample shows as very long are dealt by their nodes as well, each part with a head of its own and the heads in a list again; clusters are cut into
+counts show as very long are dealt by their nodes as well, each part with a head of its own and the heads in a list again; clusters are cut into
 blocks of bounded size; verification ships texts to salted head keys and streams past one set at a time.  Where the
 texts of a step are more than ``SHIPPED`` of the input, they are shipped in rounds; the shuffle files of a finished step or round are deleted
 before the next begins, so the disk follows the largest step and not their sum.
-Broadcast are at most ``FREQUENT`` frequent tokens and a Bloom filter of 128 MB at most.
+Tokens are counted by 32 bits of their hash, sorted and dealt as gaps of 10 to 14 bits.  Broadcast are
+a table of 4 MB (the highest rank of the tokens of each slot), the tokens of more than ``LIST`` documents and a Bloom filter of 128 MB at most.
 
 Hashes: a shingle is 48 bits, a node 64 bits of its whole set.  A pair is compared by its shingles' hashes, so one pair in
 about 10**8 of 1,000 shingles each counts one too many in common; equal nodes are not compared again, so among 10**11 different sets about 270 are taken for another.
@@ -66,8 +67,10 @@ U = np.uint64
 #: Bits of a token: rank of its frequency, then hash.  The rest holds a document's place in its chunk.
 RANK_BITS, HASH_BITS = 4, 48
 DOCS = 1 << (64 - RANK_BITS - HASH_BITS)
-#: One in SAMPLE documents is counted for the estimates; at most FREQUENT tokens are kept of them.
-SAMPLE, FREQUENT = 16, 1 << 18
+#: One in SAMPLE documents is counted: all of them, whatever stands here.  Tokens of more than RARE documents have a rank above 0.
+SAMPLE, RARE = 1, 16
+#: Bits by which a token is counted and by which its rank is looked up; tokens that are packed at once.
+COUNT_BITS, SLOT_BITS, PACKED = 32, 22, 4_000_000
 #: Tokens of a block of a cluster, and members of a head, that one task compares.
 BLOCK_TOKENS, MEMBERS = 600_000, 512
 BATCH_BYTES = 8 << 20
@@ -80,32 +83,29 @@ TOKEN_BYTES, SHIPPED = 3.5, 0.5
 
 
 class Frequent:
-    """Frequent shingle hashes (48 bits) and log2 of their estimated document count."""
+    """Ranks of shingle hashes by their document counts, and the counts of those whose lists are dealt by nodes.
 
-    def __init__(self, h: np.ndarray, count: np.ndarray, hot: int, most: int):
+    A slot holds the highest rank of its tokens, so that no token is taken for rarer than it is, however many are frequent.
+    """
+
+    def __init__(self, slot: np.ndarray, rank: np.ndarray, h: np.ndarray, count: np.ndarray, hot: int, most: int):
         order = np.argsort(h)
         self.h, self.count, self.hot, self.most = h[order], count[order], hot, most
-        self.rank = np.minimum(np.log2(np.maximum(count[order], 1)).astype(np.int64) + 1, 15).astype(np.uint64)
-        self.may = np.zeros(1 << 22, bool)
-        self.may[(self.h >> U(HASH_BITS - 22)).astype(np.int64)] = True
+        self.rank = np.zeros(1 << SLOT_BITS, np.uint8)
+        self.rank[slot] = rank
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.uint64)
-        if len(self.h):
-            at = np.flatnonzero(self.may[(h >> U(HASH_BITS - 22)).astype(np.int64)])
-            i = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
-            hit = self.h[i] == h[at]
-            out[at[hit]] = self.rank[i[hit]]
-        return out
-
+        return self.rank[(h >> U(HASH_BITS - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
 
     def parts(self, tokens: np.ndarray) -> np.ndarray:
-        """Into how many parts the list of each token is dealt, by its estimated length."""
+        """Into how many parts the list of each token is dealt, by its document count."""
         out = np.ones(len(tokens), np.int64)
         at = np.flatnonzero(tokens >> U(HASH_BITS) >= self.hot)
-        if len(at):
-            i = np.searchsorted(self.h, tokens[at] & U((1 << HASH_BITS) - 1))
-            out[at] = np.maximum(-(-self.count[i] // self.most), 1)
+        if len(at) and len(self.h):
+            h = (tokens[at] & U((1 << HASH_BITS) - 1)) >> U(HASH_BITS - COUNT_BITS)
+            i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = self.h[i] == h
+            out[at[hit]] = np.maximum(-(-self.count[i[hit]] // self.most), 1)
         return out
 
 
@@ -163,23 +163,83 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, size long, node long")
 
 
-def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, n: int) -> Frequent:
-    """Estimates from one in SAMPLE documents, told by a hash of their id."""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of these numbers, all lowest ones first: those that are zero throughout take no room once compressed."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).ravel().view("<u4")
+
+
+def _counted(text_col: str, n: int, buckets: int):
+    """Frames of each bucket: gaps of the sorted hashes of a task, and the number of its documents that hold each."""
+
+    def flush(held):
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        edge = np.searchsorted(h, np.arange(1, buckets, dtype=np.uint64) * U(1 << COUNT_BITS) // U(buckets))
+        edge = [0, *edge.tolist(), len(h)]
+        out_k, out_b = [], []
+        for k in range(buckets):
+            part = h[edge[k] : edge[k + 1]]
+            if len(part):
+                out_k.append(k)
+                out_b.append(blobs.pack([_planes(np.concatenate((part[:1], np.diff(part)))), _planes(c[edge[k] : edge[k + 1]])]))
+        return blobs.batch(out_k, out_b)
 
     def run(batches):
+        held, many = [], 0
         for rb in batches:
             for _, _, tokens, _ in shingle_sets(rb.column(text_col), n):
-                h, c = np.unique(tokens, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+                held.append((tokens >> U(HASH_BITS - COUNT_BITS)).astype(np.uint32))
+                many += len(tokens)
+                if many > PACKED:
+                    yield flush(held)
+                    held, many = [], 0
+        if many:
+            yield flush(held)
+
+    return run
 
-    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(SAMPLE)) == 0).select(text_col)
-    seen = map_arrow(some, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
-    top = seen.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    return Frequent(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy() * SAMPLE, HOT, LIST)
+
+def _summed(least: int):
+    """(h, c): the hashes of a bucket that stand in more than ``least`` documents, and in how many."""
+
+    def run(batches):
+        hs, cs = [], []
+        for h, c in blobs.frames(batches):
+            hs.append(np.cumsum(_numbers(h), dtype=np.uint32))
+            cs.append(_numbers(c))
+        if not hs:
+            return
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        total = np.add.reduceat(c.astype(np.int64), at)
+        hit = total > least
+        yield pa.RecordBatch.from_arrays([pa.array(h[at[hit]].astype(np.int64)), pa.array(total[hit])], ["h", "c"])
+
+    return run
+
+
+def token_counts(docs: DataFrame, text_col: str, n: int, least: int, buckets: int) -> DataFrame:
+    """(h, c): the first COUNT_BITS bits of each token that stands in more than ``least`` of all documents, and in how many."""
+    found = map_arrow(docs.select(text_col), _counted(text_col, n, buckets), blobs.SCHEMA)
+    return map_arrow(blobs.deal(found, buckets), _summed(least), "h long, c long")
+
+
+def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, n: int) -> Frequent:
+    """Ranks by the number of documents, counted over all of them."""
+    seen = write_shared(token_counts(docs, text_col, n, min(RARE, LIST // 2), bucket_count(docs.sparkSession, docs)), "counts")
+    rank = F.least(F.floor(F.log2("c")).cast("int") + 1, F.lit((1 << RANK_BITS) - 1))
+    slots = seen.groupBy(F.shiftright("h", COUNT_BITS - SLOT_BITS).cast("int").alias("slot")).agg(F.max(rank).cast("byte").alias("rank")).toArrow()
+    hot = seen.filter(F.col("c") > LIST).toArrow()
+    return Frequent(slots.column("slot").to_numpy(), slots.column("rank").to_numpy(), hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy(), HOT, LIST)
 
 
 def centrality(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Mean estimated document count of each set's tokens: of near copies, the one that the others were made from has the most."""
+    """Mean document count, by rank, of each set's tokens: of near copies, the one that the others were made from has the most."""
     rank = (tokens >> U(HASH_BITS)).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(np.where(rank > 0, (1 << np.maximum(rank - 1, 0)), 0))))
     return np.minimum((total[edges[1:]] - total[edges[:-1]]) * 16 // np.maximum(np.diff(edges), 1), (1 << 31) - 1)
@@ -192,8 +252,7 @@ STEPS = (0, 32, 16, 8, 4)
 def prefixes(tokens: np.ndarray, edges: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Prefix length and demanded matches of each set, by least estimated cost.
 
-    With d the estimated document counts (1 for tokens that the sample does not
-    show as frequent), a prefix of p tokens costs p postings, and about sum(d - 1) / l
+    With d the document counts by rank (1 for tokens of rank 0), a prefix of p tokens costs p postings, and about sum(d - 1) / l
     candidates share l of them; a verification costs as much as ``n`` postings.
     """
     n = np.diff(edges)
@@ -260,7 +319,7 @@ POSTING = "token long, node long, size int, demand int, weight int, df int, low
 def _shared_postings(frequent):
     """Postings whose token stands in two nodes or more, sorted by token and node.
 
-    ``low`` is one node of the list.  A token that is dealt by its nodes is kept whatever a task sees of it; its ``df`` is the estimate, and long in any case.
+    ``low`` is one node of the list.  A token that is dealt by its nodes is kept whatever a task sees of it; its ``df`` is that of all parts, and long in any case.
     """
 
     def run(batches):
@@ -558,7 +617,8 @@ def in_rounds(docs: DataFrame, ship: DataFrame, key: str, few: int, made: Callab
     """What is ``made`` of all of ``ship``, part after part: rows of equal ``key`` stay together, and a part's texts leave the disk before the next part's are shipped."""
     spark, n, out = docs.sparkSession, rounds(docs, ship), []
     for i in range(n):
-        out.append(cut(made(ship if n == 1 else ship.filter(F.pmod(F.xxhash64(F.col(key), F.lit("round")), F.lit(n)) == i)), few, deal=True))
+        part = ship if n == 1 else ship.filter(F.pmod(F.xxhash64(F.col(key), F.lit("round")), F.lit(n)) == i)
+        out.append(write_shared(made(part).repartition(few), "round"))
         free(spark)
     return reduce(DataFrame.unionByName, out)
 
@@ -570,7 +630,7 @@ def verify(pairs: DataFrame, docs: DataFrame, holder: DataFrame, id_col: str, te
     ``a`` go to the keys of their ``b``; a key with many is salted.
     """
     spark = docs.sparkSession
-    pairs = cut(pairs.select("a", "b"), few)
+    pairs = write_shared(pairs.select("a", "b").coalesce(few), "pairs")
     free(spark)
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     member = pairs.join(salts, "b").select(F.col("a").alias("s"), F.col("b").alias("dest"), F.pmod(F.xxhash64("a"), F.col("salts").cast("long")).cast("int").alias("salt"))
@@ -593,6 +653,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     every = cut(nodes(docs, id_col, text_col, n), few, deal=True)
     holder = cut(every.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("doc"), F.first("size").alias("size")), few)
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, id_col, text_col, n))
+    free(spark)
     buckets = bucket_count(spark, docs)
     # rows with a null id have no postings: no pair needs a text that no id leads to
     found = map_arrow(docs.filter(F.col(id_col).isNotNull()).select(text_col), _postings(text_col, n, t, buckets, frequent), blobs.SCHEMA)

@@ -53,7 +53,10 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Let the driver forget finished steps now: only then does Spark delete their shuffle files, on all executors."""
+    """Let the driver forget finished steps now: only then does Spark delete their shuffle files, on all executors.
+
+    So it is after ``write_shared``; those of the last ``cut`` have been seen to stay for a while.
+    """
     gc.collect()
     spark._jvm.System.gc()
 

@@ -98,6 +98,29 @@ def test_ngram_join_of_dealt_lists(spark, monkeypatch):
     assert got == want
 
 
+def test_tokens_are_counted_over_all_documents(spark, monkeypatch):
+    """Counts are those of every document, in several frames and buckets, and each frequent token has its rank."""
+    rows = corpus(7, 90)
+    want = {}
+    for _, text in rows:
+        for _, _, tokens, _ in ngramjoin.shingle_sets(pa.array([text], pa.string()), 5):
+            for h in tokens.tolist():
+                want[h >> 16] = want.get(h >> 16, 0) + 1
+    monkeypatch.setattr(ngramjoin, "PACKED", 300)
+    got = {r.h: r.c for r in ngramjoin.token_counts(frame(spark, rows).repartition(3), "text", 5, 0, 7).collect()}
+    assert got == want
+    monkeypatch.setattr(ngramjoin, "RARE", 2)
+    monkeypatch.setattr(ngramjoin, "LIST", 8)
+    frequent = ngramjoin.frequent_tokens(frame(spark, rows), "doc_id", "text", 5)
+    h = np.array(sorted(want), np.uint64) << np.uint64(16)
+    c = np.array([want[x] for x in sorted(want)])
+    true = np.where(c > 2, np.floor(np.log2(c)) + 1, 0)
+    rank = frequent.ranks(h)
+    assert max(want.values()) > 8 and (rank >= true).all() and (rank == true).mean() > 0.99
+    monkeypatch.setattr(frequent, "hot", 1)
+    assert (frequent.parts(h | rank << np.uint64(48)) == np.where(c > 8, -(-c // 8), 1)).all()
+
+
 def test_ngram_join_ships_texts_in_rounds(spark, monkeypatch, tmp_path):
     """No step ships more than a share of the input at once, and the rounds together give all links."""
     rng = random.Random(6)
@@ -131,13 +154,14 @@ def test_finished_steps_leave_no_shuffle_files(spark):
         return set(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keys().mkString(" ").split())
 
     before = held()
-    tables.write_shared(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(3, "k"), "free")
+    kept = tables.write_shared(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(3, "k"), "free")
     assert held() - before
     tables.free(spark)
     until = time.time() + 20
     while held() - before and time.time() < until:
         time.sleep(0.2)
     assert not held() - before
+    assert kept.count() == 10
 
 
 def test_ngram_join_of_nothing(spark):
